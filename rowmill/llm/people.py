@@ -108,6 +108,7 @@ def people(residents: DataFrame, documents: DataFrame) -> DataFrame:
     person of exactly their full name, else they are a person of their own spelling and
     number.
     """
+    residents = residents.select("resident_id", "full_name", "birthday_date", "document_id")
     learned = frozen(learn(residents))
     rows = residents.filter("full_name IS NOT NULL").join(documents.select("document_id", digits("number").alias("number")), "document_id", "left")
     rows = rows.join(read_names(residents, learned), "full_name").select("resident_id", "full_name", F.col("birthday_date").alias("birthday"), "number", *PARTS)
