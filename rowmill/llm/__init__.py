@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p2", "p3", "p4", "p5", "p6", "p7", "p8", "p9", "p10")
+MODULES = ("p2", "p3", "p4", "p5", "p7", "p8", "p9", "p10")
 
 
 def _gather(attribute: str) -> dict:
