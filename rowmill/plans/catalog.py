@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p1", "pages", "scalars", "documents", "jobs", "people", "reports")
+MODULES = ("p1", "pages", "scalars", "documents", "jobs", "people", "reports", "forms")
 
 
 def _gather(attribute: str) -> dict:
