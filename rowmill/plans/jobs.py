@@ -104,7 +104,7 @@ ORACLE = {
     "jobs_expired": _OLD,
     "latest_state": _STATE,
     "merge_results": f"SELECT job_id, file_index, CASE WHEN status = 'completed' THEN status ELSE 'queued' END AS status, CASE WHEN status = 'completed' THEN pages END AS pages FROM {_F}",
-    "job_durations": f"SELECT status, count(*) AS n, round(avg(x), 3) AS mean_s, round(max(x), 3) AS longest_s FROM (SELECT status, epoch_us(finished_at) / 1e6 - epoch_us(started_at) / 1e6 AS x FROM {_J} WHERE started_at IS NOT NULL AND finished_at IS NOT NULL) GROUP BY status",
+    "job_durations": f"SELECT status, count(*) AS n, CAST(round(avg(x), 3) AS DOUBLE) AS mean_s, CAST(round(max(x), 3) AS DOUBLE) AS longest_s FROM (SELECT status, CAST(epoch_us(finished_at) - epoch_us(started_at) AS DOUBLE) / 1000000 AS x FROM {_J} WHERE started_at IS NOT NULL AND finished_at IS NOT NULL) GROUP BY status",
     "json_roundtrip": f"SELECT job_id, file_index, filename, status, pages FROM {_F}",
     "event_props": "SELECT prop, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS prop FROM events WHERE props IS NOT NULL) GROUP BY prop",
     "warning_counts": f"SELECT warning, count(*) AS n FROM (SELECT unnest(warnings) AS warning FROM {_F}) GROUP BY warning",

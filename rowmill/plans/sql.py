@@ -9,7 +9,7 @@ def current(table: str) -> str:
     """A subquery: the table with redelivered rows counted once."""
     keys, at = KEYS[table]
     by = ", ".join(keys)
-    return f"(SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {at} DESC) AS rn_ FROM {table}) WHERE rn_ = 1)"
+    return f"(SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {at} DESC NULLS LAST) AS rn_ FROM {table}) WHERE rn_ = 1)"
 
 
 def ws(x: str) -> str:

@@ -26,7 +26,8 @@ Engine = Callable[[Batches], Batches]
 
 
 def documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """doc_id, path, filename, length, content of the files under a folder, one row a file."""
+    """doc_id, path, filename, length, content of the files under a folder, one row a file.
+    Files without content are left out, as Spark reads none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select(F.xxhash64("path").alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
 

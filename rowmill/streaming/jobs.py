@@ -13,9 +13,13 @@ from rowmill.session import shared_dir
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     """Events as they arrive: new Parquet files under ``path`` (a folder, or one file)."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if name.endswith(".parquet") else path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger)
+    if files.getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def last_states(events: DataFrame) -> DataFrame:
@@ -48,6 +52,7 @@ def replay_states(spark: SparkSession, path: str) -> DataFrame:
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    spark.createDataFrame([], "user_id long, event_type string, n_events long, batch int").write.parquet(f"{out}/batch=none")
     events = event_stream(spark, path)
     run(last_states(events), sink)
     states = spark.read.option("recursiveFileLookup", "true").schema("user_id long, event_type string, n_events long, batch int").parquet(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Key and delivery-time column of the tables that are delivered more than once.
 KEYS: dict[str, tuple[list[str], str]] = {
-    "jobs": (["job_id"], "created_at"),
+    "jobs": (["job_id"], "finished_at"),
     "job_files": (["job_id", "file_index"], "updated_at"),
     "page1_records": (["page1_id"], "received_at"),
     "property_addresses": (["address_record_id"], "received_at"),
