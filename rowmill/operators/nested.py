@@ -269,10 +269,11 @@ def link(nodes: DataFrame, keys: list[str], child: Column, parent: Column, carry
     )
 
 
-def node_table(nodes: DataFrame, keys: list[str], node_type: str, fields: dict[str, str], parent_type: str = "record") -> DataFrame:
+def node_table(nodes: DataFrame, keys: list[str], node_type: str, fields: dict[str, str], *parent_types: str) -> DataFrame:
     """The flat table of one node type: keys, own and parent interval number, place
-    and path, and ``fields`` (name to JSON path under the node) as text."""
-    linked = link(nodes, keys, F.col("node_type") == node_type, F.col("node_type") == parent_type, ["pre"])
+    and path, and ``fields`` (name to JSON path under the node) as text. parent_types: the
+    types a parent may have (none given: the record)."""
+    linked = link(nodes, keys, F.col("node_type") == node_type, F.col("node_type").isin(*(parent_types or ("record",))), ["pre"])
     return linked.select(
         *keys, "pre", "post", "parent_pre", "place", "node_path",
         *[F.get_json_object("fields", p).alias(n) for n, p in fields.items()],

@@ -14,14 +14,14 @@ PASSPORT = {c: f"$.{c}" for c in ("document_type", "series", "number", "issued_b
 DEPARTURE = {c: f"$.{c}" for c in ("status", "reason", "raw", "death_date", "departure_date", "act_record_number", "act_record_date", "issued_by", "destination_address")} | {
     f"validation_{c}": f"$.validation.{c}" for c in ("scheme", "applicable", "passed")
 }
-#: node type: (parent type, fields)
+#: node type: (parent types, fields)
 TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "page_1": ("record", {c: f"$.{c}" for c in ("document_date", "administrative_okrug", "district", "settlement_type", "primary_tenant")} | {"management_company": "$.management_company.name"}),
     "property_address": ("page_1", {c: f"$.{c}" for c in ("street", "house", "building", "structure", "apartment", "full")}),
     "owner": ("page_1", {"full_name": "$.full_name", "ownership_share": "$.ownership_share", "value": "$.value"}),
     "ownership_document": ("page_1", {"value": "$.value"}),
     "person": ("page_2", {"full_name": "$.full_name", "birthday_date": "$.birthday_date"}),
-    "passport": ("person", PASSPORT),
+    "passport": ("person/page_1", PASSPORT),
     "departure": ("person", DEPARTURE),
     "page_image": ("record", {"value": "$.value"}),
     "ocr_preview": ("record", {"value": "$.value"}),
@@ -56,7 +56,7 @@ def _table_query(kind: str):
     parent, fields = TABLES[kind]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return node_table(nodes(spark, sf_dir), KEYS, kind, fields, parent)
+        return node_table(nodes(spark, sf_dir), KEYS, kind, fields, *parent.split("/"))
 
     query.__doc__ = f"Flat table of the nodes of type {kind}, each with the number of its {parent}."
     return query

@@ -61,5 +61,9 @@ def test_intervals_link_children_to_parents(spark):
     assert {(r.pre, r.parent_pre) for r in linked.collect()} == by_hand and len(by_hand) == 2
     persons = node_table(nodes, KEYS, "person", {"full_name": "$.full_name"}, "page_2").orderBy("pre").collect()
     assert [r.full_name for r in persons] == ["Тестов Тест", None, "Тестов Тест"] and None not in [r.parent_pre for r in persons]
+    inner = json.dumps({"page_1": {"passport": {"series": "1"}}, "page_2": {"registered_persons_constantly": [PERSON]}}, ensure_ascii=False)
+    mixed = label_nodes(spark.createDataFrame([("k", 0, inner)], "job_id string, file_index int, e string"), KEYS, {"e": EXTRACTED})
+    of = {r.pre: r.node_type for r in mixed.collect()}
+    assert sorted(of[r.parent_pre] for r in node_table(mixed, KEYS, "passport", {}, "person", "page_1").collect()) == ["page_1", "person"]
     assert {r.problem for r in got if r.node_type == "unreadable"} == {"JSONDecodeError"}
     assert label_nodes(df.limit(0), KEYS, {"e": EXTRACTED}).count() == 0
