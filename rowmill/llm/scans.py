@@ -40,6 +40,8 @@ from rowmill.session import written
 SAMPLE, SAMPLE_TEXTS, MAX_SENT = 20_000, 2_000, 3_000_000
 _C = "а-яё"
 _WORD = re.compile(rf"[{_C}]{{2,}}")
+# Two or three letters are a word only if nothing adjoins them: 'V-НВ' is a series, 'на(' a piece of a word.
+_WHOLE = re.compile(rf"[{_C}]{{4,}}|(?<![,\w@€<('/¬-])[{_C}]{{2,3}}(?![\w@€<('/¬-])")
 _HYPHENED = re.compile(rf"(?<![{_C}-])[{_C}]{{2,}}-[{_C}]{{2,}}(?![{_C}-])")
 _TOKEN = re.compile(r"[^\s\"«»;:!?№\[\]]+")
 _FOREIGN = re.compile(rf"[іѵ€@<]|[{_C}][a-z']|[a-z'][{_C}]|[{_C}]\([{_C}]+[^)]*$|[{_C}]/[01][{_C}]")
@@ -93,7 +95,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                     continue
                 whole = joined(text)
                 low = whole.lower()
-                found.update(_WORD.findall(low))
+                found.update(_WHOLE.findall(low))
                 found.update(t.lower().strip(".,)(") for t in odd_tokens(whole))
                 if "-" in low:
                     hyphened.update(_HYPHENED.findall(low))
@@ -150,14 +152,22 @@ def _grams(word: "F.Column", size: int, shifts: tuple[int, ...]) -> "F.Column":
     return F.when(F.length(word) >= size, F.flatten(F.transform(at, one))).otherwise(F.array().cast("array<string>"))
 
 
+def _one_less(word: "F.Column") -> "F.Column":
+    """The word and the word less one letter: two words one edit apart share one of these."""
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.lit("-|"), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.concat(F.array(F.concat(F.lit("-|"), word)), less)
+
+
 def candidate_pairs(words: DataFrame, ratio: int = 8, least: int = 12) -> DataFrame:
     """word, n, meant, m: rare or odd words with frequent words that share a q-gram near its
-    place (three letters, four in long words) and are within a third of its length in edits."""
-    w = words.filter(F.length("key").between(4, 40)).select(F.col("key").alias("word"), "n")
+    place (three letters, four in long words) or, in words under eight letters, are one edit
+    away, and are within a third of its length in edits."""
+    w = words.filter(F.length("key").between(2, 40)).select(F.col("key").alias("word"), "n")
     known = w.filter((F.col("n") >= least) & F.col("word").rlike(f"^[{_C}]+$")).select(F.col("word").alias("meant"), F.col("n").alias("m"))
     long_ = F.length("meant") >= 8
-    known = known.withColumn("gram", F.explode(F.when(long_, _grams(F.col("meant"), 4, (0,))).otherwise(_grams(F.col("meant"), 3, (0,)))))
-    seen = w.withColumn("gram", F.explode(F.array_distinct(F.concat(_grams(F.col("word"), 3, (-2, -1, 0, 1)), _grams(F.col("word"), 4, (-2, -1, 0, 1))))))
+    known = known.withColumn("gram", F.explode(F.when(long_, _grams(F.col("meant"), 4, (0,))).otherwise(F.array_distinct(F.concat(_grams(F.col("meant"), 3, (0,)), _one_less(F.col("meant")))))))
+    short = F.when(F.length("word") <= 8, _one_less(F.col("word"))).otherwise(F.array().cast("array<string>"))
+    seen = w.withColumn("gram", F.explode(F.array_distinct(F.concat(_grams(F.col("word"), 3, (-2, -1, 0, 1)), _grams(F.col("word"), 4, (-2, -1, 0, 1)), short))))
     met = seen.join(known, "gram").filter((F.col("m") >= ratio * F.col("n")) & (F.abs(F.length("word") - F.length("meant")) <= 3))
     met = met.select("word", "n", "meant", "m").dropDuplicates(["word", "meant"])
     pure = F.col("word").rlike(f"^[{_C}]+$")
@@ -213,9 +223,9 @@ def corrections(words: DataFrame) -> tuple[DataFrame, dict[tuple[str, str], floa
     words = written(words, "words")
     pairs = written(candidate_pairs(words), "pairs")
     confusions = learn_confusions(pairs)
-    known = words.filter((F.col("n") >= 50) & F.col("key").rlike(f"^[{_C}]{{4,}}$")).orderBy(F.xxhash64("key")).limit(SAMPLE // 4).select("key", "n").collect()
+    known = words.filter((F.col("n") >= 50) & F.col("key").rlike(f"^[{_C}]{{2,}}$")).orderBy(F.xxhash64("key")).limit(SAMPLE // 4).select("key", "n").collect()
     top = {r.key for r in known}
-    near = known and words.filter((F.col("n") >= 50) & F.col("key").rlike(f"^[{_C}]{{4,}}$"))
+    near = known and words.filter((F.col("n") >= 50) & F.col("key").rlike(f"^[{_C}]{{2,}}$"))
     alike = []
     if known:
         two = candidate_pairs(near, ratio=1).filter("n < m").orderBy(F.xxhash64("word", "meant")).limit(SAMPLE).collect()
@@ -231,7 +241,11 @@ def corrections(words: DataFrame) -> tuple[DataFrame, dict[tuple[str, str], floa
 
     scored = pairs.select("word", "n", "meant", "m").mapInArrow(run, "word string, meant string, m long, score double").filter("score >= 0.5")
     best = scored.groupBy("word").agg(F.max_by(F.struct("meant", "score"), F.struct("score", "m", "meant")).alias("b"))
-    return best.select("word", "b.meant", "b.score"), confusions
+    best = best.select("word", "b.meant", "b.score")
+    for _ in range(3):  # a word misread twice may meet one misread once; counts rise eightfold with each step, so 8 steps reach the end
+        best = written(best, "best")
+        best = best.join(best.select(F.col("word").alias("meant"), F.col("meant").alias("root")), "meant", "left").select("word", F.coalesce("root", "meant").alias("meant"), "score")
+    return best, confusions
 
 
 # Lines ------------------------------------------------------------------------------------
@@ -381,7 +395,7 @@ def examine(text: str, forms: Forms, fixes: dict[str, str], known, joiner: Boost
         found.add("hyphen")
     # Characters misread in a header count too, so all lines are looked at.
     whole = "\n".join(body) + "\n" + "\n".join(x for x, k in zip(lines, kinds) if k)
-    if odd_tokens(whole) or not fixes.keys().isdisjoint(_WORD.findall(whole.lower())):
+    if odd_tokens(whole) or not fixes.keys().isdisjoint(_WHOLE.findall(whole.lower())):
         found.add("chars")
     if joiner is None:
         return found, None
@@ -390,7 +404,7 @@ def examine(text: str, forms: Forms, fixes: dict[str, str], known, joiner: Boost
         w = m[0]
         core = w.strip(".,)(")
         meant = fixes.get(core.lower())
-        if not meant or not core:
+        if not meant or not core or len(core) < 4 and re.fullmatch(f"[{_C}]+", core, re.I) and core.lower() not in _WHOLE.findall(m.string[max(0, m.start() - 1) : m.end() + 1].lower()):
             return w
         return w.replace(core, meant.upper() if core.isupper() else meant.capitalize() if core[0].isupper() else meant, 1)
 

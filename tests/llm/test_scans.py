@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rowmill.llm.boosting import Boosted
-from rowmill.llm.scans import Forms, clean, close_words, difference, furniture, noisy_token, page_mark
+from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, difference, examine, furniture, noisy_token, page_mark
 
 FORMS = Forms(["форма учёта жильцов", "единый бланк продолжение"], ["субсидия нет"], ["кто-нибудь"])
 
@@ -93,3 +93,28 @@ def test_clean(spark):
 
 def test_empty(spark):
     assert clean(spark.createDataFrame([], "field_name string, record_key string, text string")).count() == 0
+
+
+def test_short_words_meet(spark):
+    pairs = [("вылан", "выдан"), ("отлел", "отдел"), ("дага", "дата"), ("вил", "вид"), ("пе", "не"), ("домы", "дом"), ("дм", "дом"), ("гоорд", "город")]
+    words = spark.createDataFrame([(a, 2) for a, _ in pairs] + [(b, 900) for b in {b for _, b in pairs}], "key string, n long")
+    got = {(r.word, r.meant) for r in candidate_pairs(words).collect()}
+    assert set(pairs) <= got
+
+
+def test_short_words_are_whole(spark):
+    texts = spark.createDataFrame([("серия V-НВ номер 5, па(портист, пе8ать на дом",)], "text string")
+    assert {r.key for r in count_corpus(texts).filter("kind = 'word'").collect()} == {"серия", "номер", "портист", "на", "дом", "па(портист", "пе8ать"}
+    fixes = {"нв": "на", "вылан": "выдан", "пе": "не"}
+    plain = Boosted().fit(np.zeros((0, 9)), np.zeros(0))
+    assert examine("Серия V-НВ вылан", FORMS, fixes, {}.__contains__, plain) == ({"chars"}, "Серия V-НВ выдан")
+    assert examine("Серия V-НВ", FORMS, fixes, {}.__contains__, plain) == (set(), "Серия V-НВ") and examine("пе дом", FORMS, fixes, {}.__contains__, plain)[1] == "не дом"
+
+
+def test_corrections_end_at_a_right_word(spark):
+    words = [("начисления", 5000), ("нацисления", 60), ("нациоления", 2), *[(w, 800) for w in WORDS]]
+    r = random.Random(1)
+    words += [(w.replace("с", "о", 1), r.randint(3, 9)) for w in WORDS if "с" in w] + [(w.replace("ч", "ц", 1), 8) for w in WORDS if "ч" in w and w != "начисления"]
+    words = [x for x in words if x[0] != "начисления" or x[1] == 5000]
+    fixes = {r.word: r.meant for r in corrections(spark.createDataFrame(words, "key string, n long"))[0].collect()}
+    assert not set(fixes.values()) & set(fixes) and fixes.get("нациоления") in (None, "начисления")
