@@ -12,10 +12,11 @@ Two passes. The first counts: words, hyphenated words, lines. From the counts co
 * labels that have a number of their own before them.
 
 The second pass reads each text line by line. Furniture (headers, page numbers) goes
-first, so a word broken around a header is whole again; a number alone on a line is a
-page number unless it is the value of a name before it or a label after it; a break inside
-a word is closed unless the word is written with a hyphen elsewhere; another pair
-classifier decides which of the remaining lines continue each other.
+first, so a word broken around a header is whole again: whole lines, and learned headers
+and explicit page marks inside a line; a number alone on a line is a page number unless it
+is the value of a name before it or a label after it; a break inside a word is closed
+unless the word is written with a hyphen elsewhere; another pair classifier decides which
+of the remaining lines continue each other.
 
 Counts cover all texts. Only fits use samples: at most ``SAMPLE`` word pairs and
 ``SAMPLE_TEXTS`` texts, chosen by hash.
@@ -56,6 +57,10 @@ _LONE = re.compile(r"^\d{1,2}$")
 _DATE = re.compile(r"\d[\d. :/]*")
 # Words that name a page.
 PAGE_WORDS = ("стр", "страница", "лист", "с")
+_OTHER_CASES = {"листа", "листе", "листу", "листы", "листов", "страницы", "странице", "страницу", "страниц"}
+_IN_LINE = re.compile(r"(?<!\S)(?:[-—–] \d{1,2} [-—–]|\[\d{1,3}\]|[сc]\. ?\d{1,2}/\d{1,2}|([а-яёa-z€@(0-9/<']{3,9})[.,]? ?(?<!\d)(\d{1,3})(\s(?:из|и3|/) ?\d{1,3})?)(?!\S)", re.I)
+_HOUSE = re.compile(r"(?:\b(?:д|дом|к|кор|корп|корпус)[.,]? ?№? ?[\d/]+ ?[а-я]?|корпус -|к\. -)[,.]?\s*$", re.I)
+_FLAT = re.compile(r"\s*(?:[,;]|кв\b|квартира|оф\b)", re.I)
 
 
 def joined(text: str) -> str:
@@ -258,6 +263,33 @@ class Forms:
         self.headers, self.numbered, self.hyphened = set(headers), set(numbered), set(hyphened)
         self.parts = [(h, len(h), {h[i : i + 3] for i in range(len(h) - 2)}) for h in headers]
         self.cache: dict[str, bool] = {}
+        self.places: dict[str, list[tuple[int, list[str]]]] = {}  # a word of a header: its place, the header
+        for h in sorted(headers, key=lambda x: (-len(x), x)):
+            for i, w in enumerate(h.split()):
+                if len(w) >= 4:
+                    self.places.setdefault(w, []).append((i, h.split()))
+
+    def inside(self, line: str) -> list[tuple[int, int]]:
+        """Places of headers within a longer line: the longest header around a word that was read right."""
+        low = line.lower()
+        if self.places.keys().isdisjoint(_WORD.findall(low)):
+            return []
+        tokens = [(x, m.start(), m.end()) for m in re.finditer(r"\S+", low) if (x := re.sub(r"[^\w@€(<']+", "", m[0]).strip("(")) and not x.isdigit()]
+        out: list[tuple[int, int]] = []
+        stop = 0
+        for t, (word, _, _) in enumerate(tokens):
+            best = None
+            for i, words in self.places.get(word, ()):
+                a, z = t - i, t - i + len(words)
+                if a < stop or z > len(tokens) or line[tokens[a][1]].islower() or best and z - a <= best[1] - best[0]:
+                    continue
+                h = " ".join(words)
+                if osa(" ".join(x[0] for x in tokens[a:z]), h, max(2, len(h) // 5)) <= max(2, len(h) // 5):
+                    best = a, z
+            if best:
+                out.append((tokens[best[0]][1], tokens[best[1] - 1][2]))
+                stop = best[1]
+        return out
 
     def header(self, line: str) -> bool:
         if not 10 <= len(line) <= 80 or line[-1] in ".," or line[0].islower():
@@ -296,6 +328,38 @@ def page_mark(line: str) -> bool:
     return len(word) >= 3 and any(osa(word, w, 2) <= (0 if len(w) < 4 and len(word) < 3 else 1 if len(w) < 6 else 2) for w in PAGE_WORDS[:3])
 
 
+@lru_cache(maxsize=100_000)
+def _page_word(word: str, of: bool) -> bool:
+    if word in _OTHER_CASES or sum(c.isdigit() for c in word) > 1:
+        return False
+    if word == "стр" or re.search(rf"[^{_C}]", word) and len(word) == 3 and osa(word, "стр", 1) <= 1:
+        return True
+    return len(word) >= 4 and (osa(word, "лист", 1) <= (1 if of or re.search(rf"[^{_C}]", word) else 0) or osa(word, "страница", 2) <= 2)
+
+
+def cut_marks(line: str, forms: Forms) -> tuple[str, str, set[str]]:
+    """The line without the headers and page marks that stand inside it, what was cut out,
+    and the kinds of it. 'стр. 2' in an address is a building."""
+    spans = [(a, z, "header") for a, z in forms.inside(line)]
+    if _ANY_DIGIT.search(line):
+        for m in _IN_LINE.finditer(line):
+            if m[1] and not _page_word(m[1].lower(), bool(m[3])):
+                continue
+            if m[1] and len(m[1]) == 3 and not m[3] and (_HOUSE.search(line[: m.start()]) or _FLAT.match(line, m.end())):
+                continue
+            if not any(a < m.end() and m.start() < z for a, z, _ in spans):
+                spans.append((*m.span(), "pagenum"))
+    if not spans:
+        return line, "", set()
+    left, cut, at = [], [], 0
+    for a, z, _ in sorted(spans):
+        left.append(line[at:a].strip())
+        cut.append(line[a:z])
+        at = z
+    left.append(line[at:].strip())
+    return " ".join(x for x in left if x), "\n".join(cut), {k for _, _, k in spans}
+
+
 def person_like(line: str) -> bool:
     words = line.split()
     return 2 <= len(words) <= 4 and all(w[0].isupper() and not w[0].isdigit() for w in words) and line[-1] not in ".:;," and not any(w.isdigit() for w in words)
@@ -387,14 +451,22 @@ def fit_joiner(texts: list[str], forms: Forms) -> Boosted:
 def examine(text: str, forms: Forms, fixes: dict[str, str], known, joiner: Boosted | None = None) -> tuple[set[str], str | None]:
     """(kinds of noise, repaired text; the latter only with a joiner)."""
     lines = [x.strip() for x in text.split("\n")]
+    found: set[str] = set()
+    cuts: list[str] = []
+    for i, x in enumerate(lines):
+        if len(x) > 5 and not page_mark(x) and not forms.header(x):
+            lines[i], cut, inside = cut_marks(x, forms)
+            if inside:
+                cuts.append(cut)
+                found |= inside
     kinds = furniture(lines, forms)
-    found = {k for k in kinds if k}
+    found |= {k for k in kinds if k}
     body = [x for x, k in zip(lines, kinds) if not k]
     body, broken = close_words(body, forms, known)
     if broken:
         found.add("hyphen")
     # Characters misread in a header count too, so all lines are looked at.
-    whole = "\n".join(body) + "\n" + "\n".join(x for x, k in zip(lines, kinds) if k)
+    whole = "\n".join(body) + "\n" + "\n".join([*(x for x, k in zip(lines, kinds) if k), *cuts])
     if odd_tokens(whole) or not fixes.keys().isdisjoint(_WHOLE.findall(whole.lower())):
         found.add("chars")
     if joiner is None:

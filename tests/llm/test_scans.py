@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rowmill.llm.boosting import Boosted
-from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, difference, examine, furniture, noisy_token, page_mark
+from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, cut_marks, difference, examine, furniture, noisy_token, page_mark
 
 FORMS = Forms(["форма учёта жильцов", "единый бланк продолжение"], ["субсидия нет"], ["кто-нибудь"])
 
@@ -118,3 +118,18 @@ def test_corrections_end_at_a_right_word(spark):
     words = [x for x in words if x[0] != "начисления" or x[1] == 5000]
     fixes = {r.word: r.meant for r in corrections(spark.createDataFrame(words, "key string, n long"))[0].collect()}
     assert not set(fixes.values()) & set(fixes) and fixes.get("нациоления") in (None, "начисления")
+
+
+@pytest.mark.parametrize(
+    ("line", "rest", "kinds"),
+    [
+        ("паспорт 31 71 номер стр. 2 Единый бланк (продолжение) 836366, выдан", "паспорт 31 71 номер 836366, выдан", {"header", "pagenum"}),
+        ("паспорт ФОРМА УЧЁТА ЖИЛЬЦ0В лист 3 из 6 выдан", "паспорт выдан", {"header", "pagenum"}), ("выдан - 2 - отделом", "выдан отделом", {"pagenum"}), ("выдан С7раница 3 отделом", "выдан отделом", {"pagenum"}),
+        ("дом № 38, корпус 1, стр. 2, квартира 34", "дом № 38, корпус 1, стр. 2, квартира 34", set()), ("д. 4 стр. 2 кв. 3", "д. 4 стр. 2 кв. 3", set()), ("ул. Зорина, д. 4 - 98", "ул. Зорина, д. 4 - 98", set()),
+        ("записано на листе 3 книги", "записано на листе 3 книги", set()), ("новая форма учёта жильцов введена", "новая форма учёта жильцов введена", set()),
+    ],
+)
+def test_marks_inside_lines(line, rest, kinds):
+    got = cut_marks(line, FORMS)
+    assert (got[0], got[2]) == (rest, kinds)
+    assert kinds <= examine(line, FORMS, {}, {}.__contains__)[0]
