@@ -187,7 +187,8 @@ def persons_of(members: DataFrame) -> DataFrame:
 def candidates(registry: DataFrame, persons: DataFrame) -> DataFrame:
     """Candidate pairs with what the matching functions look at. Keys: year and surname
     less one letter; whole date, first name and patronymic; last digits of a number and
-    initial; and, where a side has no date, the whole name if one person only has it."""
+    initial; and, where a side has no date, the whole name if its bearers have one birthday
+    at most (two known namesakes: the name alone says nothing about which one it is)."""
     r = registry.withColumn("b", birth_parts("birth_date")).withColumn("d", digits("document_number"))
     masked = F.coalesce(F.col("document_number").contains("*"), F.lit(False))
     r = r.withColumn("number", F.when(~masked & (F.length("d") == 10), F.expr("right(d, 6)")).otherwise(F.col("d"))).select(
@@ -208,7 +209,9 @@ def candidates(registry: DataFrame, persons: DataFrame) -> DataFrame:
     )
     met = r.withColumn("key", F.explode(keys_r)).join(p.withColumn("key", F.explode(keys_p)), "key").drop("key")
     whole = lambda s: [f"{c}{s}" for c in PARTS]
-    only = p.filter("first2 <> '' AND father2 <> ''").groupBy(*whole("2")).agg(F.min("person_id").alias("person_id"), F.max("person_id").alias("last")).filter("person_id = last").drop("last")
+    born = persons.select("person_id", "birthday")
+    same = p.filter("first2 <> '' AND father2 <> ''").join(born, "person_id").groupBy(*whole("2")).agg(F.collect_list("person_id").alias("ids"), F.countDistinct("birthday").alias("births"))
+    only = same.filter("births <= 1").select(*whole("2"), F.explode("ids").alias("person_id"))  # the ids of one name and birthday
     lone = r.filter("first <> '' AND father <> '' AND surname <> ''").join(only, [F.col(a) == F.col(b) for a, b in zip(whole(""), whole("2"))])
     lone = lone.select(*r.columns, "person_id").join(p, "person_id").filter("yy IS NULL OR yy2 IS NULL")
     columns = ["registry_id", "person_id", *PARTS, "yy", "md", "year", "number", "masked", *whole("2"), "yy2", "md2", "year2", "numbers"]
@@ -218,7 +221,9 @@ def candidates(registry: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def link(registry: DataFrame, members: DataFrame, residents: DataFrame, least: float = 0.5) -> DataFrame:
-    """registry_id, person_id, confidence: each registry row with the person it describes.
+    """registry_id, person_id, confidence: each registry row with the person it describes,
+    and with further ids of that person: those that reach ``least`` too and whose name and
+    birth nowhere contradict the row (brothers and sisters reach it, but their first names do).
 
     registry: registry_id, full_name, birth_date, document_number; members: rows of
     :func:`rowmill.llm.people.people`; residents: the names the lexicon is learned from.
@@ -238,4 +243,7 @@ def link(registry: DataFrame, members: DataFrame, residents: DataFrame, least: f
     scores = spark.createDataFrame(patterns.drop(columns="n"), ", ".join(f"{v} int" for v in kinds) + ", confidence double")
     scored = voted.join(F.broadcast(scores), kinds).filter(F.col("confidence") >= least)
     best = F.max_by(F.struct("person_id", "confidence"), F.struct("confidence", -F.col("person_id")))
-    return scored.groupBy("registry_id").agg(best.alias("b")).select("registry_id", "b.person_id", F.round("b.confidence", 6).alias("confidence"))
+    agrees = F.least("v_surname", "v_first", "v_father", "v_birth") > 0
+    each = scored.groupBy("registry_id").agg(best.alias("b"), F.collect_list(F.when(agrees, F.struct("person_id", "confidence"))).alias("rest"))  # the persons one row may be
+    each = each.select("registry_id", F.explode(F.array_distinct(F.concat(F.array("b"), "rest"))).alias("x"))
+    return each.select("registry_id", "x.person_id", F.round("x.confidence", 6).alias("confidence"))

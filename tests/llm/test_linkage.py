@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowmill.llm.linkage import LabelModel, birth_parts, link
+from rowmill.llm.linkage import LabelModel, birth_parts, candidates, link, persons_of
 from rowmill.llm.people import people
 
 
@@ -75,3 +75,27 @@ def test_link(spark):
     assert found.groupBy("registry_id").count().filter("count > 1").count() == 0
     assert found.filter(~F.col("confidence").between(0.5, 1.0)).count() == 0
     assert link(spark.createDataFrame([], "registry_id long, full_name string, birth_date string, document_number string"), members, residents).count() == 0
+
+
+def test_one_person_under_two_ids(spark):
+    res, reg, truth = world()
+    residents = spark.createDataFrame(res, "resident_id long, full_name string, birthday_date string, document_id long, x string")
+    docs = spark.createDataFrame([(r[3], f"{100000 + 7919 * r[0] % 899999}") for r in res], "document_id long, number string")
+    members = people(residents, docs)
+    registry = spark.createDataFrame(reg, "registry_id long, full_name string, birth_date string, document_number string, person_id string")
+    twice = {i for i in (4, 10, 12) if (1000 + i, i) in truth}
+    copies = members.filter(F.col("resident_id").isin(list(twice))).withColumn("person_id", F.col("resident_id") - 90000)
+    ids = [i - 90000 for i in twice]
+    found = link(registry, members.unionByName(copies), residents)
+    assert {(r.registry_id - 1000, r.person_id) for r in found.filter(F.col("person_id").isin(ids)).collect()} == {(i, i - 90000) for i in twice}
+    assert found.filter(~F.col("person_id").isin(ids)).count() == link(registry, members, residents).count()
+    brother = copies.withColumn("first", F.lit("тимур"))
+    assert link(registry, members.unionByName(brother), residents).filter(F.col("person_id").isin(ids)).count() == 0
+
+
+def test_undated_ids_of_one_name(spark):
+    members = spark.createDataFrame([(1, "01.02.1980"), (2, None), (3, "07.03.1981"), (4, "05.05.1960"), (5, None)], "person_id long, birthday string")
+    name = F.when(F.col("person_id") < 3, "зорин").otherwise("волков").alias("surname")
+    members = members.select("person_id", name, F.lit("пётр").alias("first"), F.lit("ильич").alias("father"), "birthday", F.lit(None).cast("string").alias("number"))
+    registry = spark.createDataFrame([(1, "зорин", "пётр", "ильич", "1980-02-01", None), (2, "волков", "пётр", "ильич", None, None)], "registry_id long, surname string, first string, father string, birth_date string, document_number string")
+    assert {(r.registry_id, r.person_id) for r in candidates(registry, persons_of(members)).collect()} == {(1, 1), (1, 2)}
