@@ -261,22 +261,34 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()),
 def _beside_initials(tokens: list[str], p: dict[str, float], limit: float) -> dict[str, float]:
     """Initials never stand alone: if no word beside them is disclosed, the likelier of the
     neighbours is the name (the left one of equal ones, as lists put the surname first)."""
-    i = next((n for n, t in enumerate(tokens) if t.endswith(".")), None)
-    if i is None:
-        return p
-    j = i
-    while j < len(tokens) and tokens[j].endswith("."):
-        j += 1
-    beside = [tokens[n].lower() for n in (i - 1, j) if 0 <= n < len(tokens)]
-    if not beside or any(p.get(w, 0) >= limit for w in beside):
-        return p
-    best = max(beside, key=lambda w: p.get(w, 0))
-    return p | {best: 1.0} if len(beside) == 1 or p.get(best, 0) > 0 else p
+    j = 0
+    while (i := next((n for n in range(j, len(tokens)) if tokens[n].endswith(".")), None)) is not None:
+        j = i
+        while j < len(tokens) and tokens[j].endswith("."):
+            j += 1
+        beside = [tokens[n].lower() for n in (i - 1, j) if 0 <= n < len(tokens)]
+        if not beside or any(p.get(w, 0) >= limit for w in beside):
+            continue
+        best = max(beside, key=lambda w: p.get(w, 0))
+        if len(beside) == 1 or p.get(best, 0) > 0:
+            p = p | {best: 1.0}
+    return p
+
+
+def split_names(kinds: str) -> list[int]:
+    """Where the further names of a chain begin (kinds: I initial, P patronymic, W word): after
+    a surname with its initials where a word with initials or initials with a word follow,
+    and after a name with its patronymic where another patronymic or initials follow."""
+    out, at = [], 0
+    while m := re.match(r"(?:I+W|WI{1,2}+)(?=WI|I+W)|WWP(?=W*[PI])|WPW(?=WP|WWP|WI|I)|WP(?=WI|I)", kinds[at:]):
+        at += m.end()
+        out.append(at)
+    return out
 
 
 def _assemble(limit: float):
-    """Cuts the name out of a run, given P(protected) of its words: the longest chain of
-    adjoining name parts with two parts or more. sure: 1 if its terms disclose it, 0 if
+    """Cuts the names out of a run, given P(protected) of its words: every chain of adjoining
+    name parts with two parts or more, cut where a second full name begins. sure: 1 if its terms disclose it, 0 if
     it only has the shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,18 +310,24 @@ def _assemble(limit: float):
                         chains.append(chain)
                         chain = []
                 chains = [c for c in chains if len(c) > 1 and any(x[0] != "I" for x in c) and (any(x[0] != "W" for x in c) or any(first.get(raw[a:z].lower(), 0) >= 0.1 for _, a, z in c))]
-                best = max(chains, key=len, default=None)
-                if best and len(best) == 2 and "P" in (best[0][0], best[1][0]):  # a likely surname beside a first name and a patronymic
-                    i = next(n for n, x in enumerate(spans) if x[1] == best[0][1])
-                    for n in (i - 1, i + 2):
-                        if len(best) == 2 and 0 <= n < len(spans) and p.get(spans[n][0].lower(), 0) >= 0.02:
-                            best = sorted([*best, ("W", *spans[n][1:])], key=lambda x: x[1])
-                if not best and len(spans) == 2:  # a settled first name and a possible surname
+                names = []
+                for c in chains:
+                    cuts = [0, *split_names("".join(x[0] for x in c)), len(c)]
+                    names += [c[x:y] for x, y in zip(cuts, cuts[1:])]
+                used = {x[1] for c in names for x in c}
+                for k, c in enumerate(names):
+                    if len(c) == 2 and "P" in (c[0][0], c[1][0]):  # a likely surname beside a first name and a patronymic
+                        i = next(n for n, x in enumerate(spans) if x[1] == c[0][1])
+                        for n in (i - 1, i + 2):
+                            if len(names[k]) == 2 and 0 <= n < len(spans) and spans[n][1] not in used and p.get(spans[n][0].lower(), 0) >= 0.02:
+                                names[k] = sorted([*c, ("W", *spans[n][1:])], key=lambda x: x[1])
+                                used.add(spans[n][1])
+                if not names and len(spans) == 2:  # a settled first name and a possible surname
                     known_as = sorted((first.get(t.lower(), 0), p.get(t.lower(), 0)) for t, _, _ in spans)
                     if known_as[1][0] >= 0.3 and known_as[0][1] >= 0.02:
-                        best = [("W", *x[1:]) for x in spans]
-                if best:
-                    out.append((doc, s + best[0][1], s + best[-1][2], cue, 1, None))
+                        names = [[("W", *x[1:]) for x in spans]]
+                if names:  # the word before a run vouches for its first name only
+                    out += [(doc, s + c[0][1], s + c[-1][2], None if k else cue, 1, None) for k, c in enumerate(names)]
                 elif 2 <= len(spans) <= 3 and not any(t.endswith(".") for t, _, _ in spans):
                     out.append((doc, s, s + len(raw), cue, 0, spans[0][0].lower()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _OUT)], schema=_OUT)

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from rowmill.llm.addresses import town_index
-from rowmill.llm.pii import evidence, mentions, redact, scan
+from rowmill.llm.pii import evidence, mentions, redact, scan, split_names
 
 TOWNS = ["Вербоград", "Усолинск"]
 INDEX = town_index(TOWNS)
@@ -67,3 +67,15 @@ def test_mentions_and_redaction(spark):
 
 def test_empty(spark):
     assert mentions(spark.createDataFrame([], "doc_id long, text string"), TOWNS).count() == 0
+
+
+@pytest.mark.parametrize(("kinds", "cuts"), [("WII", []), ("IIW", []), ("WIIWII", [3]), ("WIIIIW", [3]), ("IIWIIW", [3]), ("WWPWWP", [3]), ("WPWWPW", [3]), ("WIIW", []), ("WWP", []), ("WPW", []), ("WWPWII", [3])])
+def test_second_names(kinds, cuts):
+    assert split_names(kinds) == cuts
+
+
+def test_every_name_of_a_run(spark):
+    rows = [*corpus(), (910, "Подпись: Зоринов П.Р. Перезвонить Е. Р. Петрунов", "x"), (911, "Подпись: П.Т.Зоринов\nВручено Маркову Лапинов А. В.", "x")]
+    found = mentions(spark.createDataFrame(rows, "doc_id long, text string, pii_type string"), TOWNS).filter("doc_id >= 910")
+    text = {r[0]: r[1] for r in rows}
+    assert {text[r.doc_id][r.start_pos : r.end_pos] for r in found.collect()} == {"Зоринов П.Р.", "Е. Р. Петрунов", "П.Т.Зоринов", "Лапинов А. В."}
