@@ -512,6 +512,14 @@ def running_headers(counts: DataFrame, n_texts: int) -> list[str]:
     return [r.key for r in places.filter("kinds >= 3 AND top <= 0.6 * m AND m >= 0.15 * n").select("key").collect()]
 
 
+def hyphened_words(counts: DataFrame) -> list[str]:
+    """All words truly written with a hyphen; their number is checked as that of the vocabulary."""
+    found = counts.filter("kind = 'hyphened' AND n >= 3").select("key")
+    if found.count() > MAX_SENT:
+        raise ValueError("the hyphenated words are beyond what may be sent to the workers; split the texts by field")
+    return [r.key for r in found.collect()]
+
+
 def clean(texts: DataFrame, repaired: bool = False) -> DataFrame:
     """field_name, record_key, noise_kinds (sorted), text (repaired, or null if not asked for).
 
@@ -522,7 +530,7 @@ def clean(texts: DataFrame, repaired: bool = False) -> DataFrame:
     total = counts.filter("kind = 'line'").agg(F.sum("n")).first()[0] or 0
     headers = running_headers(counts, texts.filter(F.col("text").contains("\n")).count())
     numbered = [r.key for r in counts.filter("kind = 'label' AND n >= 5 AND hits >= 0.5 * n AND key <> ''").filter(F.col("n") * 2_000 >= total).collect() if not person_like(r.key.title())]
-    hyphened = [r.key for r in counts.filter("kind = 'hyphened' AND n >= 3").orderBy(F.col("n").desc(), "key").limit(100_000).collect()]
+    hyphened = hyphened_words(counts)
     words = counts.filter("kind = 'word'").select("key", "n")
     fixes_df, _ = corrections(words)
     fixes_df = written(fixes_df, "fixes")

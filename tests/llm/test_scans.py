@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rowmill.llm.boosting import Boosted
-from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, cut_marks, difference, examine, furniture, noisy_token, page_mark
+from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, cut_marks, difference, examine, furniture, hyphened_words, noisy_token, page_mark
 
 FORMS = Forms(["форма учёта жильцов", "единый бланк продолжение"], ["субсидия нет"], ["кто-нибудь"])
 
@@ -133,3 +133,8 @@ def test_marks_inside_lines(line, rest, kinds):
     got = cut_marks(line, FORMS)
     assert (got[0], got[2]) == (rest, kinds)
     assert kinds <= examine(line, FORMS, {}, {}.__contains__)[0]
+
+
+def test_no_hyphenated_word_is_left_out(spark):
+    counts = spark.range(100_050).selectExpr("'hyphened' AS kind", "concat('кто-', id) AS key", "3L AS n", "0L AS hits")
+    assert len(hyphened_words(counts)) == 100_050
