@@ -4,9 +4,9 @@ Values are mapped to a skeleton (one letter for all letters that look alike, ord
 widths, hyphens and spaces, nothing invisible). Skeletons are grouped under the
 accent-sensitive Unicode collation, under which composed and decomposed letters are
 equal and other accents are not. Each class gets one canonical member, chosen
-deterministically: the most frequent member that is already in the consistent form of its
-field, the first in order of equal ones, and if there is none the form made by the rules
-of the field. The member is joined back to the values of its class.
+deterministically among its members by form and frequency (see :func:`canonical_forms`);
+only a class without a member in a consistent form gets the one the rules of its field
+make. The member is joined back to the values of its class.
 
 All of it is built-in expressions; only distinct values are grouped, so a value that
 fills a third of the table is handled once.
@@ -47,9 +47,13 @@ def ordinary(value: Column) -> Column:
     return F.trim(F.when(v.rlike("\\p{M}"), composed).otherwise(v))
 
 
-def skeleton(value: Column) -> Column:
-    """One Latin letter for all letters that look alike; digits that pass for letters too."""
-    return F.translate(F.translate(value, _CYR, _LAT), _GREEK + "ЗО03", _GREEK_LAT + "3OO3")
+def skeleton(value: Column, field: Column) -> Column:
+    """One sign for all that look alike: letters of three scripts, digits that pass for
+    letters, and in series the strokes that pass for I. ``value`` is in capitals."""
+    one = F.translate(F.translate(value, _CYR, _LAT), _GREEK + "ЗО03", _GREEK_LAT + "3OO3")
+    for sign, letters in _ROMAN:
+        one = F.replace(one, F.lit(sign), F.lit(letters))
+    return F.when(field == "series", F.translate(one, "1L|", "III")).otherwise(one)
 
 
 def _count(value: Column, letters: str) -> Column:
@@ -90,6 +94,16 @@ def of_house(v: Column) -> Column:
     return F.translate(letters, "ОоЗзІі", "003311")
 
 
+#: How many times as frequent another member of a class must be to be preferred to the member the rules of the field would make.
+PRIOR = 8
+
+
+def _consistent(field: Column, value: Column, made: Column) -> Column:
+    """Whether a value may stand as the form of its class: it is as the rules of its field
+    make it, or, for a name, it keeps to plain Latin letters throughout."""
+    return (made == value) | ((field == "full_name") & value.rlike("^[A-Za-z][A-Za-z .,'-]*$") & (F.trim(value) == value))
+
+
 def canonical_forms(values: DataFrame) -> DataFrame:
     """field_name, record_id, kind, value, form, changed of every row of ``values``.
 
@@ -97,26 +111,31 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     (document type, may be null), value. Null values are left out; a value of nothing but
     blanks gets the empty form. changed: the value isn't in its consistent form; case
     doesn't count. Repeated rows come out repeated.
+
+    A class (field, kind, skeleton under UNICODE collation) takes one of its consistent
+    members: the most frequent, where a member that its field's rules wouldn't touch
+    counts ``PRIOR`` times; equal ones by their order. The rules make a form only for
+    classes that have no consistent member.
     """
     clean = ordinary(F.col("value"))
     rows = values.filter(F.col("value").isNotNull()).withColumn("kind", F.coalesce("kind", F.lit(""))).withColumn("_v", clean)
     made = F.when(F.col("field_name") == "full_name", of_name(F.col("_v"))).when(F.col("field_name") == "series", of_series(F.col("_v"), F.col("kind"))).when(F.col("field_name") == "house", of_house(F.col("_v"))).otherwise(F.col("_v"))
     distinct = rows.groupBy("field_name", "kind", "value").agg(F.count("*").alias("n"), F.first("_v").alias("_v")).withColumn("made", made)
-    distinct = distinct.withColumn("skeleton", skeleton(F.upper("_v"))).withColumn("consistent", F.col("made") == F.col("value"))
-    distinct.createOrReplaceTempView("_lookalike_values")
-    spark = values.sparkSession
-    classes = spark.sql("""
-        SELECT field_name, kind, skeleton COLLATE UNICODE AS class, upper(made) COLLATE UNICODE AS look,
-               coalesce(max_by(value, struct(n, -ascii(value), value)) FILTER (WHERE consistent), min(made)) AS member
-        FROM _lookalike_values
-        GROUP BY field_name, kind, skeleton COLLATE UNICODE, upper(made) COLLATE UNICODE
-    """)
-    joined = distinct.alias("d").join(
-        classes.alias("c"),
-        (F.col("d.field_name") == F.col("c.field_name")) & (F.col("d.kind") == F.col("c.kind")) & (F.expr("d.skeleton COLLATE UNICODE") == F.col("c.class")) & (F.expr("upper(d.made) COLLATE UNICODE") == F.col("c.look")),
+    distinct = distinct.withColumn("skeleton", skeleton(F.upper("_v"), F.col("field_name"))).withColumn("consistent", _consistent(F.col("field_name"), F.col("value"), F.col("made")))
+    weighted = distinct.withColumn("weight", F.col("n") * F.when(F.col("made") == F.col("value"), PRIOR).otherwise(1))
+    classes = values.sparkSession.sql(
+        """
+        SELECT field_name, kind, skeleton COLLATE UNICODE AS class,
+               max_by(value, struct(weight, -ascii(value), value)) FILTER (WHERE consistent) AS member, max_by(made, struct(n, made)) AS fallback
+        FROM {spellings}
+        GROUP BY field_name, kind, skeleton COLLATE UNICODE
+        """,
+        spellings=weighted,
     )
-    own = F.when(F.col("d.consistent"), F.col("d.value")).when(F.lower("c.member") == F.lower("d.made"), F.col("d.made")).otherwise(F.col("c.member"))
-    forms = joined.select("d.field_name", "d.kind", "d.value", own.cast("string").alias("form"))
+    joined = distinct.alias("d").join(classes.alias("c"), (F.col("d.field_name") == F.col("c.field_name")) & (F.col("d.kind") == F.col("c.kind")) & (F.expr("d.skeleton COLLATE UNICODE") == F.col("c.class")))
+    member = F.coalesce("c.member", "c.fallback")
+    cased = F.when(F.lower(member) == F.lower("d.value"), F.col("d.value")).when(F.lower(member) == F.lower("d.made"), F.col("d.made")).when(F.upper("d._v") == F.col("d._v"), F.upper(member)).otherwise(member)
+    forms = joined.select("d.field_name", "d.kind", "d.value", cased.cast("string").alias("form"))
     return rows.select("field_name", "record_id", "kind", "value").join(forms, ["field_name", "kind", "value"]).select(
         "field_name", "record_id", "kind", "value", "form", (F.lower("form") != F.lower("value")).alias("changed")
     )

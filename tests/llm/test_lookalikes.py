@@ -33,6 +33,16 @@ def test_one_member_per_class(spark):
     assert {r.form for r in got} == {"Тома Охова"} and sorted(r.record_id for r in got if r.changed) == [1, 2]
 
 
+def test_the_class_decides_against_the_rules(spark):
+    # Letters that are in both scripts: the rules would make the name Cyrillic, its class knows it as Latin.
+    rows = [("full_name", i, None, "Cox Poxa", None) for i in range(20)] + [("full_name", 50, None, "Сох Роха", None), ("full_name", 51, None, "Cох Рoха", None)]
+    got = {r.record_id: r for r in canonical_forms(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {r.form for r in got.values()} == {"Cox Poxa"} and sorted(k for k, r in got.items() if r.changed) == [50, 51]
+    # Where spellings of both scripts are about as frequent, the one the rules leave alone counts more.
+    rows = [("full_name", 0, None, "Cox Poxa", None), ("full_name", 1, None, "Сох Роха", None)]
+    assert {r.form for r in canonical_forms(spark.createDataFrame(rows, SCHEMA)).collect()} == {"Сох Роха"}
+
+
 def test_accents_keep_apart(spark):
     got = canonical_forms(spark.createDataFrame([("full_name", 0, None, "Елкин", None), ("full_name", 1, None, "Ёлкин", None)], SCHEMA)).collect()
     assert {r.form for r in got} == {"Елкин", "Ёлкин"}
