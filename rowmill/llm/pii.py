@@ -1,19 +1,23 @@
 """Personal information in free text, found by how strongly terms disclose it.
 
-One scan of the corpus yields three things: mentions whose form alone settles their type
-(addresses for mail, phones, street addresses, numbers in an unmistakable form), runs
-of capitalised words that may hold a name, and counts. The counts say how often a term
-stands in a frame that only a protected entity fills (beside initials or a patronymic;
-a number in an unmistakable form after the word) and how often it stands anywhere. From
-them comes the disclosure of a term,
-
-    bits(term) = log2( P(protected | term) / P(protected) ),
-
-with P(protected | term) smoothed by the terms of the same ending, so that a name seen
-once is judged by its like. A second round lets disclosed terms vouch for their
-neighbours (short forms of first names beside surnames), and for the word that stands
-before a mention. Terms beyond the threshold are part of the mention; words that only
-stand near mentions (``sent by``) fill no frame and stay.
+One scan of the corpus nominates terms and counts them. Patterns only nominate: values
+in the form of a mail address, a phone, a street address or a number, and runs of
+capitalised words that may hold a name. What is taken out is decided by how many bits a
+term discloses, against one threshold for all types (``LEAST_BITS``):
+
+* a value points at the texts that hold it: bits(value) = log2( texts / texts with it ). What
+  stands in a large part of all texts (a service line under every letter) discloses nobody;
+* a word of a name points at a protected entity: bits(term) = log2( P(protected | term) /
+  P(protected) ), counted from the frames only a protected entity fills (beside initials or a
+  patronymic), with P(protected | term) smoothed by the terms of the same ending, so that a
+  name seen once is judged by its like. A second round lets disclosed terms vouch for their
+  neighbours (short forms of first names beside surnames), and for the word that stands
+  before a mention;
+* a number in a form that other things have too is judged by the word before it: by how often
+  numbers in an unmistakable form follow that word.
+
+Terms beyond the threshold are generalised to their type; words that only stand near
+mentions (``sent by``) fill no frame and stay.
 """
 
 from __future__ import annotations
@@ -66,6 +70,12 @@ _HEAD = re.compile(rf"(?:(?:страна\s{{1,2}})?Россия,\s{{1,2}}|(?<!\d
 _TOWN_WORD = re.compile(r"(?<![\w-])(?:город\s|гор\.|гор\s|г\.|г\s)\s{0,2}$", re.I)
 _TOWN_LEFT = re.compile(rf"(?<![\w-])({_NAME})(?:,\s{{0,2}}|\s{{1,2}})$")
 
+#: Bits from which a term is taken out: it narrows the texts, or the words, it may belong to, to less than 2 ** -LEAST_BITS of all.
+LEAST_BITS = 1.5
+#: Texts the count of texts is raised by, so that in a handful of texts a value isn't public for standing in one of them.
+UNSEEN = 1000
+#: P(protected) counts as at most this, so that in a corpus of little but names a term that is mostly protected still discloses.
+BASE_AT_MOST = 1 / 6
 SCAN = "kind string, doc_id long, s int, e int, text string, cue string, n long"
 _ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("text", pa.string()), ("cue", pa.string()), ("n", pa.int64())])
 
@@ -191,6 +201,15 @@ def evidence(tokens: list[str]) -> list[tuple[str, str]]:
     return [(tokens[i].lower(), r) for i, r in role.items()]
 
 
+def comparable(kind: str, value: str) -> str:
+    """A nominated value without what differs from writing to writing."""
+    low = value.lower().replace("ё", "е")
+    if kind in ("PHONE", "ID_NUMBER"):
+        digits = re.sub(r"[^0-9a-zа-я]", "", low)
+        return digits[1:] if kind == "PHONE" and len(digits) == 11 and digits[0] in "78" else digits
+    return re.sub(r"\W", "", low) if kind == "EMAIL" else " ".join(re.findall(r"\w+", low))
+
+
 def scan_corpus(docs: DataFrame, towns: list[str]) -> DataFrame:
     """One pass over the texts: SCAN rows. Counts are summed within a batch before they leave the worker."""
     index = town_index(towns)
@@ -203,7 +222,12 @@ def scan_corpus(docs: DataFrame, towns: list[str]) -> DataFrame:
                 if not text:
                     continue
                 found, numbers, runs = scan(text, index)
-                out += [(k, doc, s, e, None, None, None) for k, s, e in found]
+                counts["TEXTS", None, None] += 1
+                held: set = set()
+                for k, s, e in found:
+                    value = comparable(k, text[s:e])
+                    out.append((k, doc, s, e, value, None, int((k, value) not in held)))  # n: 1 where a text has the value first
+                    held.add((k, value))
                 for kind, s, e, cue in numbers:
                     if kind == "weak":
                         out.append(("NUMBER", doc, s, e, kind, cue, None))
@@ -250,7 +274,7 @@ def disclosure(scanned: DataFrame, prior_weight: float = 2.0) -> DataFrame:
     two = one.join(vouched, "term", "left").fillna(0, ["f2", "s2"])
     two = two.withColumn("total", F.col("total") + F.greatest("f2", "s2")).withColumn("hit", F.col("f") + F.col("s") + F.greatest("f2", "s2"))
     two = two.withColumn("p", (F.col("hit") + prior_weight * F.col("p_ending")) / (F.col("total") + prior_weight))
-    base = two.agg((F.sum("hit") / F.sum("total")).alias("base"))  # one row
+    base = two.agg(F.least(F.lit(BASE_AT_MOST), F.sum("hit") / F.sum("total")).alias("base"))  # one row
     return two.crossJoin(F.broadcast(base)).select("term", "total", "p", F.greatest("p_f", (F.col("f") + F.col("f2")) / (F.col("total") + 1.0)).alias("first"), F.log2(F.col("p") / F.col("base")).alias("bits"))
 
 
@@ -286,65 +310,76 @@ def split_names(kinds: str) -> list[int]:
     return out
 
 
-def _assemble(limit: float):
-    """Cuts the names out of a run, given P(protected) of its words: every chain of adjoining
-    name parts with two parts or more, cut where a second full name begins. sure: 1 if its terms disclose it, 0 if
-    it only has the shape."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, s, raw, cue, known in zip(*(b.column(i).to_pylist() for i in range(5))):
-                p = {k["term"]: k["p"] for k in known or []}
-                first = {k["term"]: k["first"] for k in known or []}
-                spans = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(raw)]
-                p = _beside_initials([t for t, _, _ in spans], p, limit)
-                chain: list[tuple] = []
-                chains = []
-                for t, a, z in [*spans, ("", 0, 0)]:
-                    part = "I" if t.endswith(".") else "P" if t and _PATRONYMIC.match(t) else "W" if t and p.get(t.lower(), 0) >= limit else ""
-                    if part:
-                        chain.append((part, a, z))
-                        continue
-                    if chain:
-                        chains.append(chain)
-                        chain = []
-                chains = [c for c in chains if len(c) > 1 and any(x[0] != "I" for x in c) and (any(x[0] != "W" for x in c) or any(first.get(raw[a:z].lower(), 0) >= 0.1 for _, a, z in c))]
-                names = []
-                for c in chains:
-                    cuts = [0, *split_names("".join(x[0] for x in c)), len(c)]
-                    names += [c[x:y] for x, y in zip(cuts, cuts[1:])]
-                used = {x[1] for c in names for x in c}
-                for k, c in enumerate(names):
-                    if len(c) == 2 and "P" in (c[0][0], c[1][0]):  # a likely surname beside a first name and a patronymic
-                        i = next(n for n, x in enumerate(spans) if x[1] == c[0][1])
-                        for n in (i - 1, i + 2):
-                            if len(names[k]) == 2 and 0 <= n < len(spans) and spans[n][1] not in used and p.get(spans[n][0].lower(), 0) >= 0.02:
-                                names[k] = sorted([*c, ("W", *spans[n][1:])], key=lambda x: x[1])
-                                used.add(spans[n][1])
-                if not names and len(spans) == 2:  # a settled first name and a possible surname
-                    known_as = sorted((first.get(t.lower(), 0), p.get(t.lower(), 0)) for t, _, _ in spans)
-                    if known_as[1][0] >= 0.3 and known_as[0][1] >= 0.02:
-                        names = [[("W", *x[1:]) for x in spans]]
-                if names:  # the word before a run vouches for its first name only
-                    out += [(doc, s + c[0][1], s + c[-1][2], None if k else cue, 1, None) for k, c in enumerate(names)]
-                elif 2 <= len(spans) <= 3 and not any(t.endswith(".") for t, _, _ in spans):
-                    out.append((doc, s, s + len(raw), cue, 0, spans[0][0].lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _OUT)], schema=_OUT)
-
-    return run
-
-
-def mentions(docs: DataFrame, towns: list[str], limit: float = 0.35, cue_limit: float = 0.6) -> DataFrame:
+#: How far a word beside a sure name may fall short of the threshold (as a share of its disclosure) and still be a part of it.
+_FAINT = 1 / 12
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts the names out of a run, given what its words disclose, as a multiple of the
+    threshold: every chain of adjoining name parts with two parts or more, cut where a second
+    full name begins. sure: 1 if its terms disclose it, 0 if it only has the shape."""
+    for b in batches:
+        out = []
+        for doc, s, raw, cue, known in zip(*(b.column(i).to_pylist() for i in range(5))):
+            p = {k["term"]: k["p"] for k in known or []}
+            first = {k["term"]: k["first"] for k in known or []}
+            spans = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(raw)]
+            p = _beside_initials([t for t, _, _ in spans], p, 1.0)
+            chain: list[tuple] = []
+            chains = []
+            for t, a, z in [*spans, ("", 0, 0)]:
+                part = "I" if t.endswith(".") else "P" if t and _PATRONYMIC.match(t) else "W" if t and p.get(t.lower(), 0) >= 1.0 else ""
+                if part:
+                    chain.append((part, a, z))
+                    continue
+                if chain:
+                    chains.append(chain)
+                    chain = []
+            chains = [c for c in chains if len(c) > 1 and any(x[0] != "I" for x in c) and (any(x[0] != "W" for x in c) or any(first.get(raw[a:z].lower(), 0) >= 0.1 for _, a, z in c))]
+            names = []
+            for c in chains:
+                cuts = [0, *split_names("".join(x[0] for x in c)), len(c)]
+                names += [c[x:y] for x, y in zip(cuts, cuts[1:])]
+            used = {x[1] for c in names for x in c}
+            for k, c in enumerate(names):
+                if len(c) == 2 and "P" in (c[0][0], c[1][0]):  # a likely surname beside a first name and a patronymic
+                    i = next(n for n, x in enumerate(spans) if x[1] == c[0][1])
+                    for n in (i - 1, i + 2):
+                        if len(names[k]) == 2 and 0 <= n < len(spans) and spans[n][1] not in used and p.get(spans[n][0].lower(), 0) >= _FAINT:
+                            names[k] = sorted([*c, ("W", *spans[n][1:])], key=lambda x: x[1])
+                            used.add(spans[n][1])
+            if not names and len(spans) == 2:  # a settled first name and a possible surname
+                known_as = sorted((first.get(t.lower(), 0), p.get(t.lower(), 0)) for t, _, _ in spans)
+                if known_as[1][0] >= 0.3 and known_as[0][1] >= _FAINT:
+                    names = [[("W", *x[1:]) for x in spans]]
+            if names:  # the word before a run vouches for its first name only
+                out += [(doc, s + c[0][1], s + c[-1][2], None if k else cue, 1, None) for k, c in enumerate(names)]
+            elif 2 <= len(spans) <= 3 and not any(t.endswith(".") for t, _, _ in spans):
+                out.append((doc, s, s + len(raw), cue, 0, spans[0][0].lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _OUT)], schema=_OUT)
+
+
+def disclosing(scanned: DataFrame, least_bits: float) -> DataFrame:
+    """The nominated values but for those found in so many texts that they disclose less
+    than ``least_bits``. There can't be many of these (a text's mentions times
+    2 ** least_bits), so they go to the rows, and no value's rows are brought together."""
+    values = scanned.filter("kind IN ('EMAIL', 'PHONE', 'ADDRESS', 'ID_NUMBER')")
+    texts = scanned.filter("kind = 'TEXTS'").agg((F.coalesce(F.sum("n"), F.lit(0)) + UNSEEN).alias("texts"))  # one row
+    held = values.groupBy("kind", "text").agg(F.sum("n").alias("held"))
+    public = held.crossJoin(F.broadcast(texts)).filter(F.log2(F.col("texts") / F.col("held")) < least_bits).select("kind", "text")
+    return values.join(F.broadcast(public), ["kind", "text"], "left_anti").select("doc_id", F.col("kind").alias("pii_type"), F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
+
+
+def mentions(docs: DataFrame, towns: list[str], least_bits: float = LEAST_BITS, cue_limit: float = 0.6) -> DataFrame:
     """Every mention of personal information: MENTIONS, positions in code points.
 
     docs: doc_id (unique), text; null and empty texts have none; further columns are
-    ignored. limit: least P(protected | term) of a name part; cue_limit: least share of
+    ignored. least_bits: what a term must disclose at least; cue_limit: least share of
     names among the runs after a word for that word to vouch for an unknown run, which must
     begin with a term that stands mostly after such words.
     """
     scanned = written(scan_corpus(docs, towns), "pii")
-    settled = scanned.filter("kind IN ('EMAIL', 'PHONE', 'ADDRESS', 'ID_NUMBER')").select("doc_id", F.col("kind").alias("pii_type"), F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
+    settled = disclosing(scanned, least_bits)
 
     cues = scanned.filter("kind = 'CUE'").groupBy(F.col("text").alias("cue")).agg(
         F.sum(F.when(F.col("cue") == "strong", F.col("n")).otherwise(0)).alias("strong"), F.sum("n").alias("all")
@@ -352,11 +387,11 @@ def mentions(docs: DataFrame, towns: list[str], limit: float = 0.35, cue_limit:
     sure = cues.filter(F.col("strong") >= 0.2 * F.col("all")).select("cue")
     numbers = scanned.filter("kind = 'NUMBER'").join(sure, "cue", "left_semi").select("doc_id", F.lit("ID_NUMBER").alias("pii_type"), F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
 
-    terms = disclosure(scanned).filter(F.col("p") >= 0.01).select("term", "p", "first")
+    terms = disclosure(scanned).filter(F.col("p") >= 0.01).select("term", F.pow(F.lit(2.0), F.col("bits") - least_bits).alias("p"), "first")
     runs = scanned.filter("kind = 'RUN'").select("doc_id", "s", "text", "cue")
     parts = runs.select("doc_id", "s", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]{2,}', 0)"))).alias("term"))
     known = parts.join(terms, "term").groupBy("doc_id", "s").agg(F.collect_list(F.struct("term", "p", "first")).alias("known"))  # the words of one run
-    named = runs.join(known, ["doc_id", "s"], "left").mapInArrow(_assemble(limit), "doc_id long, s int, e int, cue string, sure int, head string")
+    named = runs.join(known, ["doc_id", "s"], "left").mapInArrow(_assemble, "doc_id long, s int, e int, cue string, sure int, head string")
     named = written(named, "names")
     vouch = named.groupBy("cue").agg(F.avg("sure").alias("share"), F.count("*").alias("n")).filter(f"share >= {cue_limit} AND n >= 5").select("cue", F.lit(1).alias("vouched"))
     open_runs = named.filter("sure = 0").join(vouch, "cue", "left")

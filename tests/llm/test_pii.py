@@ -79,3 +79,18 @@ def test_every_name_of_a_run(spark):
     found = mentions(spark.createDataFrame(rows, "doc_id long, text string, pii_type string"), TOWNS).filter("doc_id >= 910")
     text = {r[0]: r[1] for r in rows}
     assert {text[r.doc_id][r.start_pos : r.end_pos] for r in found.collect()} == {"Зоринов П.Р.", "Е. Р. Петрунов", "П.Т.Зоринов", "Лапинов А. В."}
+
+
+def test_what_stands_in_most_texts_discloses_nobody(spark):
+    footer = "Справочная +7 900 111-22-33."
+    own = {i: f"Звоните +7 9{i % 90 + 10} 555-{i // 90 + 10}-{i % 90 + 10}, спасибо. " for i in range(6000)}
+    texts = [(i, own[i] + (footer if i % 20 else "")) for i in range(6000)]
+    third = [(i, t + (" Запасной 8-900-222-33-44." if i % 3 == 0 else "")) for i, t in texts]
+    found = mentions(spark.createDataFrame(third, "doc_id long, text string"), []).collect()
+    text = dict(third)
+    said = [text[r.doc_id][r.start_pos : r.end_pos] for r in found]
+    assert not any("111-22-33" in x for x in said)  # in 19 of 20 texts
+    assert sum("222-33-44" in x for x in said) == 2000  # a third of all texts have it: still a person's
+    assert sum("555" in x for x in said) == 6000
+    none = mentions(spark.createDataFrame(texts, "doc_id long, text string"), [], least_bits=0.0).count()
+    assert none == 6000 + 5700
