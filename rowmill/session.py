@@ -48,12 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="rowmill-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all shuffle partitions by ``keys``: narrow rows before a costly Python stage, which
+    adaptive execution would otherwise gather into few tasks by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: later steps neither
     recompute it nor depend on the executors that made it."""
