@@ -15,17 +15,20 @@ before any join, so neither a hot date nor a hot name makes a large group.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm.canonical import weighted
-from rowmill.llm.chars import cyrillic, plain
+from rowmill.llm.chars import cyrillic, osa, plain
 from rowmill.llm.names import _lexicon, frozen, learn, likelihood, read_names
-from rowmill.session import written
+from rowmill.session import spread, written
 
 PARTS = ["surname", "first", "father"]
 
@@ -36,12 +39,18 @@ def one_less(column: str) -> Column:
     return F.array_distinct(F.concat(F.array(F.col(column)), F.when(F.length(column) > 3, cut).otherwise(F.array().cast("array<string>"))))
 
 
-def roots(nodes: DataFrame, parents: DataFrame, doublings: int = 5) -> DataFrame:
+def two_less(column: str) -> Column:
+    """``column`` and everything left of it after up to two deletions (one in short words): two words within two edits share one of these."""
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    return F.array_distinct(F.concat(one_less(column), F.when(F.length(column) > 5, F.flatten(F.transform(one_less(column), cut))).otherwise(F.array().cast("array<string>"))))
+
+
+def roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """node, root: where the parent pointers (node, parent; no cycles) of each node end.
-    Each doubling follows paths twice as long; 5 cover 32 steps."""
+    Each doubling follows paths twice as long, until none goes on."""
     at = nodes.select("node").join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root"))
     at = written(at, "roots")
-    for _ in range(doublings):
+    while True:
         up = at.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("up"))
         at = at.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         at = written(at, "roots")
@@ -141,86 +150,173 @@ def variant_pairs(members: DataFrame, cluster: str, key: str, spelling: str) ->
 
 # Issuing bodies -------------------------------------------------------------------------
 
-# Words of the names of issuing bodies outside the reference list.
-BODY_WORDS = ["управление", "миграционного", "учета", "поселковый", "паспортный", "паспортная", "пункт", "сельский", "отдел", "записи", "граждан", "межрайонное", "бюро", "удостоверений", "личности", "станичная", "служба", "регистрации", "рождений", "поселок", "номер"]
 _NUMBER = re.compile(r"(?:№|номер|\bn)\s*(\d+)|(\d+)")
 _PLACE = re.compile(r"\(\s*([а-я]{4,}(?:-[а-я]+)*)\s*\)|(?<![а-я])(?:поселок|пос|п)(?:\.\s*|\s+)([а-я]{4,}(?:-[а-я]+)*)")
+_BODY_TOKEN = re.compile(r"[а-я]+(?:-[а-я]+)*")
+# Words that say what the next word is, and words without weight.
+_MARKS = ("и", "по", "п", "пос", "поселок", "номер", "n")
+
+
+class BodyWords:
+    """The words of the names of bodies (learned, see :func:`learn_body_words`), with a memory of what was compared."""
+
+    def __init__(self, words: tuple[str, ...]):
+        self.words, self.known = sorted({*words, "поселок", "номер"}), {}
+
+    def far(self, word: str) -> float:
+        """How far a word is from the words of bodies, as a share of its length (0: it is one, or short for one)."""
+        best = self.known.get(word)
+        if best is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            bare = word.rstrip(".")
+            best = 1.0
+            for w in self.words:
+                for full in {w, w[: len(bare)]} if len(bare) >= 3 else {w}:
+                    best = min(best, weighted(bare, full, 3.0) / max(len(bare), 1))
+            self.known[word] = best
+        return best
+
 
+@lru_cache(maxsize=4)
+def _body_words(words: tuple[str, ...]) -> BodyWords:
+    return BodyWords(words)
 
-def _to_body_word(word: str) -> float:
-    """How far a word is from the words of bodies, as a share of its length (0: it is one, or short for one)."""
-    bare = word.rstrip(".")
-    best = 1.0
-    for w in BODY_WORDS:
-        for full in {w, w[: len(bare)]} if len(bare) >= 3 else {w}:
-            best = min(best, weighted(bare, full, 3.0) / max(len(bare), 1))
-    return best
+
+def _tidy(text: str) -> tuple[str, str]:
+    """(number without leading zeros, the text without it)."""
+    s = cyrillic(plain(text)).lower().replace("ё", "е")
+    s = re.sub(r"п/\s?(?=п)", "паспортный ", s)
+    if m := _NUMBER.search(s):
+        return (m[1] or m[2]).lstrip("0") or "0", s[: m.start()] + " , " + s[m.end() :]
+    return "", s
 
 
-def read_body(text: str | None) -> tuple[str, str, str]:
+def read_body(text: str | None, words: BodyWords) -> tuple[str, str, str]:
     """(number, signature, place): the number without leading zeros, the first letters of
     the words of the body, the name of the settlement; "" for what isn't written."""
     if not text:
         return "", "", ""
-    s = cyrillic(plain(text)).lower().replace("ё", "е")
-    s = re.sub(r"п/\s?(?=п)", "паспортный ", s)
-    number = ""
-    if m := _NUMBER.search(s):
-        number = (m[1] or m[2]).lstrip("0") or "0"
-        s = s[: m.start()] + " , " + s[m.end() :]
+    number, s = _tidy(text)
     place = ""
     for m in _PLACE.finditer(s):
         w = m[1] or m[2]
-        if _to_body_word(w) > 0.25:
+        if words.far(w) > 0.25:
             place, s = w, s[: m.start()] + " , " + s[m.end() :]
             break
-    words = re.findall(r"[а-я]+(?:-[а-я]+)*", s)
+    found = _BODY_TOKEN.findall(s)
     if not place:
-        far = max(((_to_body_word(w), len(w), w) for w in words if len(w) >= 5), default=(0.0, 0, ""))
+        far = max(((words.far(w), len(w), w) for w in found if len(w) >= 5), default=(0.0, 0, ""))
         if far[0] > 0.25:
             place = far[2]
-            words.remove(place)
-    words = [w for w in words if w not in ("и", "по", "п", "пос", "поселок", "номер", "n")]
-    if len(words) == 1 and len(words[0]) <= 6:
-        return number, words[0], place
-    return number, "".join(w[0] for w in words), place
+            found.remove(place)
+    found = [w for w in found if w not in _MARKS]
+    if len(found) == 1 and len(found[0]) <= 6:
+        return number, found[0], place
+    return number, "".join(w[0] for w in found), place
+
+
+def learn_body_words(cards: DataFrame, share: float = 0.01, numbers: float = 0.05, least: int = 10) -> tuple[str, ...]:
+    """Words that stand in ``share`` of the spellings (and ``least`` of them) or more and beside
+    ``numbers`` of all numbers or more: words of bodies. Names of settlements are in few spellings and stand by
+    the few numbers of their own bodies. At most 1 / share words for each word of a spelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                number, s = _tidy(text)
+                out += [(w, number) for w in {w for w in _BODY_TOKEN.findall(s) if len(w) >= 3 and w not in _MARKS}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[], []])], names=["word", "number"])
+
+    spellings = cards.select("issued_by").filter("issued_by IS NOT NULL").distinct()
+    words = spellings.mapInArrow(run, "word string, number string").groupBy("word", "number").agg(F.count("*").alias("n"))
+    total = spellings.agg(F.count("*").alias("all"))  # one row
+    kinds = words.agg(F.countDistinct("number").alias("kinds"))  # one row
+    per = words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("beside")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(kinds))
+    return tuple(sorted(r.word for r in per.filter((F.col("n") >= F.greatest(F.lit(least), share * F.col("all"))) & (F.col("beside") >= numbers * F.col("kinds"))).select("word").collect()))
 
 
 _BODY = pa.schema([("issued_by", pa.string()), ("number", pa.string()), ("signature", pa.string()), ("place", pa.string())])
 
 
-def read_bodies(cards: DataFrame) -> DataFrame:
+def read_bodies(cards: DataFrame, words: tuple[str, ...]) -> DataFrame:
     """issued_by, number, signature, place of every distinct non-null ``issued_by``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _body_words(words)
         for b in batches:
             texts = b.column(0).to_pylist()
-            parts = [read_body(t) for t in texts]
+            parts = [read_body(t, known) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (texts, *(zip(*parts) if parts else [[]] * 3))], schema=_BODY)
 
-    return cards.select("issued_by").filter("issued_by IS NOT NULL").distinct().mapInArrow(run, "issued_by string, number string, signature string, place string")
+    return spread(cards.select("issued_by").filter("issued_by IS NOT NULL").distinct(), "issued_by").mapInArrow(run, "issued_by string, number string, signature string, place string")
+
+
+#: Classes of what two spellings of a body differ by: typing cost of the places in steps of a half, signatures by their distance.
+COSTS, SIGNS = 9, 4
+BELIEF = 20
+_DIFFERENCE = "node long, parent long, n long, cost int, off int"
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        costs = [min(COSTS - 1, math.ceil(2 * weighted(x, y, COSTS / 2)) if abs(len(x) - len(y)) < COSTS else COSTS - 1) if (x != y) else 0 for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+        signs = [min(SIGNS - 1, osa(x, y, SIGNS)) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array(costs, pa.int32()), pa.array(signs, pa.int32())], names=["node", "parent", "n", "cost", "off"])
+
+
+def body_channel(seen: np.ndarray, chance: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood of a difference under one body, posterior of one body) for every class
+    of differences, from the counts ``seen`` (COSTS x SIGNS) of candidate pairs. chance: how
+    often two spellings at random have one signature, hence two bodies.
+
+    No pair is labelled: expectation maximisation splits the counts into pairs of one body and
+    pairs of two; costs and signatures are independent within each. Start: the smaller both
+    differences, the likelier one body.
+    """
+    cost, off = np.arange(COSTS)[:, None], np.arange(SIGNS)[None, :]
+    post = 1 / (1 + np.exp(1.0 * (cost - 5) + 6.0 * (off - 0.5)))
+    for _ in range(rounds):
+        logs = []
+        for w, steep in ((seen * post, 1.0), (seen * (1 - post), 0.0)):
+            # ``BELIEF`` pairs' worth of the start, so that a handful of pairs doesn't turn the classes over.
+            p, q = np.exp(-steep * cost[:, 0]), np.exp(-3 * steep * off[0])
+            p, q = w.sum(1) + BELIEF * p / p.sum(), w.sum(0) + BELIEF * q / q.sum()
+            if logs:  # two bodies
+                q[0] = q[1:].sum() * chance / (1 - chance)
+            logs.append(np.log(p / p.sum())[:, None] + np.log(q / q.sum())[None, :] + np.log((w.sum() + 1) / (seen.sum() + 2)))
+        post = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
+    return logs[0], post
 
 
 def bodies(cards: DataFrame) -> DataFrame:
     """card_id, issued_by, body_id. cards: card_id, issued_by, n_docs.
 
-    The number must agree; places meet when they, their first or their last six letters share
-    what is left after one deletion; the most documents make the canonical spelling. Cards without a number or place are bodies of
-    their own spelling.
+    The number must agree (it is part of the body); places within two edits of each other
+    meet (symmetric deletes); the channel, learned from all pairs that meet, says which differences one body
+    has, and each spelling points to the likeliest of the more frequent ones: prior (its
+    documents) times likelihood. Cards without a number or place are bodies of their own
+    spelling.
     """
-    rows = cards.filter("issued_by IS NOT NULL").select("card_id", "issued_by", F.coalesce("n_docs", F.lit(1)).alias("n_docs")).join(read_bodies(cards), "issued_by")
+    given = cards.filter("issued_by IS NOT NULL").select("card_id", "issued_by", F.coalesce("n_docs", F.lit(1)).alias("n_docs"))
+    rows = given.join(read_bodies(given, learn_body_words(given)), "issued_by")
     rows = rows.withColumn("node", F.xxhash64("number", "signature", "place", F.when((F.col("number") == "") | (F.col("place") == ""), F.col("issued_by")).otherwise("")))
     rows = written(rows, "cards")
     seen = rows.filter("number <> '' AND place <> ''").groupBy("node", "number", "signature", "place").agg(F.sum("n_docs").cast("long").alias("n"))
-    seen = seen.withColumn("head", F.substring("place", 1, 6)).withColumn("tail", F.expr("right(place, 6)"))
-    ends = F.concat(F.transform(one_less("head"), lambda x: F.concat(F.lit("<"), x)), F.transform(one_less("tail"), lambda x: F.concat(F.lit(">"), x)))
-    keyed = seen.withColumn("key", F.explode(F.concat(one_less("place"), ends))).withColumn("rank", F.struct("n", "node"))
+    keyed = seen.withColumn("key", F.explode(two_less("place"))).withColumn("rank", F.struct("n", "node"))
     other = keyed.select("number", "key", *[F.col(c).alias(f"{c}2") for c in ("node", "signature", "place", "n", "rank")])
-    pairs = keyed.join(other, ["number", "key"]).filter("rank < rank2").select("node", "node2", "signature", "signature2", "place", "place2", "n2").dropDuplicates(["node", "node2"])
-    off, far = F.levenshtein("signature", "signature2"), F.levenshtein("place", "place2")
-    near = (far <= 2) & (off <= F.when(F.least(F.length("signature"), F.length("signature2")) >= 3, 1).otherwise(0))
-    wide = (far == 3) & (off == 0) & (F.length("place") >= 9) & (F.substring("place", 1, 1) == F.substring("place2", 1, 1)) & (F.levenshtein(F.substring("place", 1, 5), F.substring("place2", 1, 5)) <= 2)
-    likely = pairs.withColumn("score", F.log("n2") - 2.0 * far - 2.5 * off).filter(near | wide)
-    parents = likely.groupBy("node").agg(F.max_by("node2", F.struct("score", "node2")).alias("parent"))
+    pairs = keyed.join(other, ["number", "key"]).filter("rank < rank2").select("node", "node2", "n2", "place", "place2", "signature", "signature2").dropDuplicates(["node", "node2"])
+    apart = written(pairs.mapInArrow(_differences, _DIFFERENCE), "differences")
+    counts = np.zeros((COSTS, SIGNS))
+    for r in apart.groupBy("cost", "off").agg(F.count("*").alias("k")).collect():  # COSTS x SIGNS rows
+        counts[r.cost, r.off] = r.k
+    kinds = seen.groupBy("signature").agg(F.count("*").alias("k"))
+    chance = kinds.agg((F.sum(F.col("k") * F.col("k")) / F.pow(F.sum("k"), F.lit(2.0))).alias("c")).first()["c"]
+    like, post = body_channel(counts, min(0.25, max(0.01, chance or 0.0)))
+    table = [(c, o, float(like[c, o])) for c in range(COSTS) for o in range(SIGNS) if post[c, o] >= 0.5]
+    channel = cards.sparkSession.createDataFrame(table, "cost int, off int, like double")
+    likely = apart.join(F.broadcast(channel), ["cost", "off"]).withColumn("score", F.log("n") + F.col("like"))
+    parents = likely.groupBy("node").agg(F.max_by("parent", F.struct("score", "parent")).alias("parent"))
     root = roots(rows.select("node").distinct(), parents)
     return rows.join(root, "node").select("card_id", "issued_by", F.col("root").alias("body_id"))

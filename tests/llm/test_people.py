@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pytest
 
 from rowmill.llm.names import Lexicon, likelihood, read_name
-from rowmill.llm.people import bodies, people, read_body, variant_pairs
+from rowmill.llm.people import BodyWords, COSTS, SIGNS, bodies, body_channel, learn_body_words, people, read_body, roots, variant_pairs
 
 FIRST = {"иван": 50, "петр": 50, "анна": 50, "олга": 50, "зинаида": 20, "алина": 20, "алла": 20, "олег": 30}
 FATHER = {"иванович": 50, "петрович": 40, "ивановна": 50, "петровна": 40, "олегович": 20, "олеговна": 20}
@@ -63,15 +64,41 @@ def test_empty(spark):
     assert bodies(spark.createDataFrame([], "card_id long, issued_by string, n_docs int")).count() == 0
 
 
+WORDS = BodyWords(tuple("сельский отдел записи учета граждан поселковый паспортный пункт".split()))
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("Сельский отдел записи и учёта граждан № 018, посёлок Ивовка", ("18", "созуг", "ивовка")), ("(ИВОВКА), СЕЛ. ОТД. ЗАПИСИ И УЧАТА ГР-Н N 18", ("18", "созуг", "ивовка")), ("СОЗУГ номер 18 п.Ивовка", ("18", "созуг", "ивовка")), ("Поселковый п/пункт Ивовка №7", ("7", "ппп", "ивовка")), (None, ("", "", "")), ("", ("", "", ""))],
 )
 def test_read_body(text, want):
-    assert read_body(text) == want
+    assert read_body(text, WORDS) == want
 
 
 def test_bodies(spark):
     rows = [(1, "Управление миграционного учёта № 7, посёлок Нижнеивовка", 9), (2, "УМУ N 07 Нижнеивовка", 1), (3, "Упр. миграц. учёта п. Нжинеивовка № 7", 1), (4, "Управление миграционного учёта № 8, посёлок Нижнеивовка", 2), (5, "Поселковый паспортный пункт № 7, посёлок Нижнеивовка", 2), (6, "Управление миграционного учёта № 7, посёлок Старопрудье", None), (7, None, 1)]
     got = {r.card_id: r.body_id for r in bodies(spark.createDataFrame(rows, "card_id long, issued_by string, n_docs int")).collect()}
     assert got[1] == got[2] == got[3] and len(set(got.values())) == 4 and 7 not in got
+
+
+def test_body_words_are_learned(spark):
+    kinds = ["Управление миграционного учёта", "Поселковый паспортный пункт"]
+    rows = [(i, f"{kinds[i % 2]} № {i % 40 + 1}, посёлок Ново{'абвгдежзик'[i % 10]}рск{'овоинская'[i % 7 : i % 7 + 3]}", 1) for i in range(400)]
+    got = learn_body_words(spark.createDataFrame(rows, "card_id long, issued_by string, n_docs int"))
+    assert got == ("миграционного", "паспортный", "поселковый", "пункт", "управление", "учета")
+
+
+def test_channel_is_learned():
+    seen = np.zeros((COSTS, SIGNS))
+    seen[1:4, 0] = 200, 150, 90  # typing errors
+    seen[3:, 1:] = 40  # other bodies
+    seen[0, 3], seen[COSTS - 1, 0] = 10, 30
+    like, post = body_channel(seen, 0.2)
+    assert (post[1:4, 0] > 0.5).all() and post[0, 3] < 0.5 and post[COSTS - 1, 0] < 0.5 and (np.diff(like[1:5, 0]) < 0).all()
+
+
+def test_roots_follow_long_chains(spark):
+    n = 100
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    parents = nodes.filter("node > 0").selectExpr("node", "node - 1 AS parent")
+    assert {(r.node, r.root) for r in roots(nodes, parents).collect()} == {(i, 0) for i in range(n)}
