@@ -14,15 +14,18 @@ mapped once.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm.chars import cyrillic, deletes, plain
+from rowmill.session import spread
 
 _VOWELS = set("аеиоуыэюя")
 # Letters that keyboards and scanners confuse.
@@ -120,6 +123,7 @@ class Lookup:
                     self.index.setdefault(d, set()).add(w)
             for d in deletes("".join(keys), 1):
                 self.whole.setdefault(d, set()).add(n)
+        self.longest_whole = max((len("".join(keys)) for _, keys, _, _ in self.entries), default=0)
         self.drop: dict[str, set[str]] = {}
         for w in f.optional:
             for d in deletes(w, depth if len(w) > 4 else 0):
@@ -128,6 +132,13 @@ class Lookup:
         for n, (_, keys, _, _) in enumerate(self.entries):
             for w in keys:
                 self.by_word.setdefault(w, set()).add(n)
+        self.ordered = sorted(self.by_word)
+        self.longest = max(map(len, self.ordered), default=0)
+        self.heads: dict[str, set[tuple[str, int]]] = {}  # beginnings of words, less up to one letter
+        for w in self.ordered:
+            for n in range(4, len(w) + 1):
+                for d in deletes(w[:n], 1):
+                    self.heads.setdefault(d, set()).add((w, n))
 
     def near(self, word: str) -> dict[str, float]:
         """Dictionary words that ``word`` may stand for, with their costs."""
@@ -141,18 +152,24 @@ class Lookup:
     def _near(self, word: str) -> dict[str, float]:
         bare = word.rstrip(".")
         found: dict[str, float] = {}
-        for d in deletes(bare, self.depth) if len(bare) < 40 else {bare}:
+        if len(bare) > self.longest + self.depth:
+            return found  # longer than any word within reach
+        for d in deletes(bare, self.depth):
             for w in self.index.get(d, ()):
                 if w not in found and (c := weighted(bare, w, _most(w))) < float("inf"):
                     found[w] = c + (1.1 if len(w) > 3 and w[0] != bare[:1] else 0.0)  # first letters are seldom mistyped
-        if word.endswith(".") and len(bare) >= 3 or len(bare) >= 5:
-            for w in self.by_word:
-                if len(w) > len(bare) and w.startswith(bare):
-                    found[w] = min(found.get(w, 9.0), 0.4 if word.endswith(".") else 0.3 * (len(w) - len(bare)))
-                elif word.endswith(".") and len(bare) >= 4 and len(w) > len(bare) and w[0] == bare[0]:
-                    c = min(weighted(bare, w[:n], 1.0) for n in (len(bare), len(bare) + 1))
-                    if c <= 1.0:
-                        found[w] = min(found.get(w, 9.0), 0.8 + c)
+        dotted = word.endswith(".")
+        if dotted and len(bare) >= 3 or len(bare) >= 5:
+            at = bisect.bisect_left(self.ordered, bare)
+            while at < len(self.ordered) and self.ordered[at].startswith(bare):
+                w = self.ordered[at]
+                if len(w) > len(bare):
+                    found[w] = min(found.get(w, 9.0), 0.4 if dotted else 0.3 * (len(w) - len(bare)))
+                at += 1
+        if dotted and len(bare) >= 4:
+            for w, n in {x for d in deletes(bare, 1) for x in self.heads.get(d, ())}:
+                if n - len(bare) in (0, 1) and len(w) > len(bare) and w[0] == bare[0] and not w.startswith(bare) and (c := weighted(bare, w[:n], 1.0)) <= 1.0:
+                    found[w] = min(found.get(w, 9.0), 0.8 + c)
         return found
 
     def acronym(self, words: list[str]) -> int | None:
@@ -170,14 +187,13 @@ class Lookup:
     def find(self, value: str) -> tuple[int, float]:
         """(ref_id, cost) of the entry meant; (-1, inf) if none."""
         typed = words_of(value, self.f)
-        ref = self.acronym(typed)
-        if ref is not None:
-            return ref, 0.0
         seen: dict[str, float] = {}
         for w in typed:
             for k, c in self.near(w).items():
                 seen[k] = min(seen.get(k, 9.0), c)
         best: tuple = (float("inf"), 0, 0)
+        if (short := self.acronym(typed)) is not None:
+            best = (0.1, 0, short)  # only a name that is written out is a better candidate
         ranked = set().union(*(self.by_word[k] for k in seen)) if seen else set()
         for n in ranked:
             ref, keys, count, _ = self.entries[n]
@@ -185,7 +201,7 @@ class Lookup:
                 best = min(best, (sum(seen[k] for k in keys), -count, ref))
         if best[0] == float("inf"):  # words run together or apart
             joined = "".join(w.rstrip(".") for w in typed if not self._idle(w))
-            if 5 <= len(joined) < 60:
+            if 5 <= len(joined) <= self.longest_whole + 1:
                 for n in {n for d in deletes(joined, 1) for n in self.whole.get(d, ())}:
                     ref, keys, count, _ = self.entries[n]
                     c = weighted(joined, "".join(keys), 2.0)
@@ -200,6 +216,12 @@ class Lookup:
 MAX_ENTRIES = 100_000
 
 
+@lru_cache(maxsize=2)
+def _lookups(fields: tuple) -> tuple[dict[str, Lookup], dict[tuple[str, str], int]]:
+    """The indexes of all fields, built once in a worker."""
+    return {k: Lookup(list(v), FIELDS.get(k, Field())) for k, v in fields}, {(k, name): ref for k, v in fields for ref, name, _ in v}
+
+
 def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """field_name, value, n, ref_id, cost of every distinct value.
 
@@ -216,9 +238,10 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     for r in used:
         fields.setdefault(r.field_name, []).append((r.ref_id, r.value, r.n))
 
+    sent = values.sparkSession.sparkContext.broadcast(tuple(sorted((k, tuple(sorted(v))) for k, v in fields.items())))  # at most MAX_ENTRIES names
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookups = {k: Lookup(v, FIELDS.get(k, Field())) for k, v in fields.items()}
-        exact = {(k, name): ref for k, v in fields.items() for ref, name, _ in v}
+        lookups, exact = _lookups(sent.value)
         for pdf in batches:
             got = [
                 (exact[f, v], 0.0) if (f, v) in exact else lookups[f].find(v) if f in lookups else (-1, float("inf"))
@@ -228,4 +251,4 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
             pdf["cost"] = [None if c == float("inf") else float(c) for _, c in got]
             yield pdf
 
-    return counted.mapInPandas(run, "field_name string, value string, n long, ref_id int, cost double")
+    return spread(counted, "value").mapInPandas(run, "field_name string, value string, n long, ref_id int, cost double")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rowmill.llm.canonical import weighted
 from rowmill.llm.chars import STRICT_LAT_TO_CYR, deletes, plain
+from rowmill.session import spread
 
 SHARE = 2000
 
@@ -139,26 +140,53 @@ def _apart(words: list[str], lex: Lexicon) -> list[str]:
     return out
 
 
+def _as_surname(word: str, place: int) -> float:
+    return (2.2 if "-" in word else 1.5 if len(word) > 3 and not word.endswith(".") else -1.0) + (0.1 if place == 0 else 0)
+
+
+def _places(words: list[str], lex: Lexicon, female: bool) -> set[tuple[str, ...]]:
+    """The assignments of many words of which one is the likeliest: all words are surnames but
+    the one that gains most as first name and the one that gains most as patronymic (the two
+    that gain most are enough to look at, as they must differ)."""
+    best: dict[tuple[str, str], float] = {}
+    gains: dict[str, list[tuple[float, int]]] = {"F": [], "P": []}
+    for n, w in enumerate(words):
+        own = _as_surname(w, n)
+        for role, read in (("F", lambda x: lex.as_first(x, female)), ("P", lex.as_patronymic)):
+            if (role, w) not in best:
+                best[role, w] = read(w)[1]
+            gains[role] = sorted([*gains[role], (best[role, w] - own, -n)], reverse=True)[:2]
+    out = set()
+    for _, i in gains["F"]:
+        for _, j in gains["P"]:
+            if i != j:
+                out.add(tuple("F" if n == -i else "P" if n == -j else "S" for n in range(len(words))))
+    return out
+
+
 def read_name(text: str | None, lex: Lexicon) -> tuple[str, str, str]:
     """(surname, first name, patronymic); a part not written is "", an initial ends in a dot.
     Names without a known first name keep their words, in alphabetical order, as the surname."""
     if not text:
         return "", "", ""
-    words = _apart(spelled(text), lex)[:6]
+    words = _apart(spelled(text), lex)
     initials = [w for w in words if w.endswith(".") and len(w) == 2]
     rest = [w for w in words if w not in initials]
     if not rest:
         return "", *(initials + ["", ""])[:2]
     female = rest[0].endswith(("а", "я")) or rest[-1].endswith(("а", "я"))
     best: tuple = (-99.0,)
-    roles = ["S", "F", "P"][: len(rest)] if len(rest) <= 3 else ["S"] * (len(rest) - 2) + ["F", "P"]
-    options = set(itertools.permutations(roles)) | ({("S", "F"), ("F", "S"), ("F", "P"), ("P", "F"), ("S", "P")} if len(rest) == 2 else {("F",), ("S",)} if len(rest) == 1 else set())
+    if len(rest) > 4:
+        options = _places(rest, lex, female)
+    else:
+        options = set(itertools.permutations(["S", "F", "P"][: len(rest)] if len(rest) <= 3 else ["S", "S", "F", "P"]))
+    options |= ({("S", "F"), ("F", "S"), ("F", "P"), ("P", "F"), ("S", "P")} if len(rest) == 2 else {("F",), ("S",)} if len(rest) == 1 else set())
     for option in options:
         score, parts = 0.0, {"S": [], "F": "", "P": ""}
         for n, (w, r) in enumerate(zip(rest, option)):
             if r == "S":
                 parts["S"].append(w.rstrip("."))
-                score += (2.2 if "-" in w else 1.5 if len(w) > 3 and not w.endswith(".") else -1.0) + (0.1 if n == 0 else 0)
+                score += _as_surname(w, n)
             elif r == "F":
                 parts["F"], s = lex.as_first(w, female)
                 score += s
@@ -268,4 +296,4 @@ def read_names(names: DataFrame, learned: tuple[tuple, tuple]) -> DataFrame:
             parts = [read_name(t, lex) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (texts, *(zip(*parts) if parts else [[]] * 3))], schema=_READ)
 
-    return names.select("full_name").filter("full_name IS NOT NULL").distinct().mapInArrow(run, "full_name string, surname string, first string, father string")
+    return spread(names.select("full_name").filter("full_name IS NOT NULL").distinct(), "full_name").mapInArrow(run, "full_name string, surname string, first string, father string")

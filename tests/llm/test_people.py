@@ -28,6 +28,7 @@ def test_read_name(text, want):
 
 def test_long_name_does_not_hang():
     assert read_name("Зорькин " * 5000, LEX)[0]
+    assert read_name("барон фон дер " + "Зорькин " * 9 + "Иван Петрович", LEX)[1:] == ("иван", "петрович")
 
 
 def test_likelihood():
