@@ -40,9 +40,9 @@ def one_less(column: str) -> Column:
 
 
 def two_less(column: str) -> Column:
-    """``column`` and everything left of it after up to two deletions (one in short words): two words within two edits share one of these."""
+    """``column`` and everything left of it after up to two deletions: two words within two edits share one of these."""
     cut = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-    return F.array_distinct(F.concat(one_less(column), F.when(F.length(column) > 5, F.flatten(F.transform(one_less(column), cut))).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(one_less(column), F.when(F.length(column) > 3, F.flatten(F.transform(one_less(column), cut))).otherwise(F.array().cast("array<string>"))))
 
 
 def roots(nodes: DataFrame, parents: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def _cue(text: str, s: int) -> str:
     return left[-1].strip("().,;:«»\"").lower() or left[-1] if left else ""
 
 
-def address_at(text: str, s: int, e: int, towns: dict[str, str]) -> tuple[int, int] | None:
+def address_at(text: str, s: int, e: int, towns: dict[str, set[str]]) -> tuple[int, int] | None:
     """The street address whose street name is the run ``text[s:e]``, or none."""
     if m := _TITLE_BEFORE.search(text[max(0, s - 8) : s]):
         s -= len(m[0])
@@ -118,7 +118,7 @@ def address_at(text: str, s: int, e: int, towns: dict[str, str]) -> tuple[int, i
             return s, end
 
 
-def scan(text: str, towns: dict[str, str]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+def scan(text: str, towns: dict[str, set[str]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
     """(settled mentions (type, s, e), ambiguous numbers (kind, s, e, cue), runs (s, e, cue, street))."""
     found: list[tuple] = []
     numbers: list[tuple] = []
