@@ -14,6 +14,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def ws(x: Column | str) -> Column:
     """White space of any kind squeezed to one space, none outside."""
     return F.trim(F.regexp_replace(_c(x), r"[\s  -  　]+", " "))
@@ -98,13 +103,13 @@ def check_digit(base: Column | str) -> Column:
 def name_parts(x: Column | str) -> Column:
     """struct(last_name, first_name, middle_name): first, second and the remaining words."""
     w = F.split(ws(x), " ")
-    return F.struct(F.nullif(F.get(w, F.lit(0)), F.lit("")).alias("last_name"), F.get(w, F.lit(1)).alias("first_name"), F.nullif(F.array_join(F.slice(w, 3, 99), " "), F.lit("")).alias("middle_name"))
+    return F.struct(F.nullif(F.get(w, F.lit(0)), F.lit("")).alias("last_name"), F.get(w, F.lit(1)).alias("first_name"), F.nullif(F.array_join(F.slice(w, F.lit(3), F.greatest(F.lit(0), F.size(w))), " "), F.lit("")).alias("middle_name"))
 
 
 def title_case(x: Column | str) -> Column:
     """Each run of letters begins with a capital, after hyphens too."""
     runs = F.regexp_extract_all(F.lower(_c(x)), F.lit(r"([^a-zа-яё]+|[a-zа-яё]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1000))), "")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, F.lit(2), F.length(r)))), "")
 
 
 def merge_hyphens(x: Column | str) -> Column:
@@ -154,6 +159,8 @@ def _points(*conditions: tuple[Column, float], start: float) -> Column:
 
 # Words that are no names.
 NO_NAMES = ["Российская", "Федерация", "Документ"]
+# Places and words that a name column holds beside names.
+NAME_STOPS = ["Россия", "Российская", "Федерация", "Узбекистан", "Украина", "Москва", "Ташкент", "Анджелес", "Штат", "Калифорния", "Татарская", "Нурлат", "Ворошиловград", "Алтайского", "Барнаул", "заявитель"]
 
 
 def name_tokens(x: Column | str) -> Column:

@@ -17,8 +17,9 @@ def file_counts(files: DataFrame) -> DataFrame:
 
 
 def final_status(total: Column, completed: Column, failed: Column) -> Column:
-    """The state a job has by its files: running until all are done, then completed or completed_with_errors; failed if all failed."""
-    return F.when(completed + failed < total, "running").when(failed == 0, "completed").when(completed == 0, "failed").otherwise("completed_with_errors")
+    """The state a job has by its files: running until all are done, then completed, or
+    completed_with_errors if any failed (``failed`` is the state of a job that broke off itself)."""
+    return F.when(completed + failed < total, "running").when(failed == 0, "completed").otherwise("completed_with_errors")
 
 
 def newest(jobs: DataFrame, files: DataFrame, k: int) -> DataFrame:

@@ -152,7 +152,10 @@ def cluster_choice(clusters: DataFrame, score: Column, within: int = 120) -> Dat
     return fit.groupBy(*PAGE, "top").agg(F.min_by("cluster", "box_left").alias("cluster"), F.max("best").alias("best_score"))
 
 
-def layout_variant(texts: DataFrame, signals: dict[str, str]) -> DataFrame:
-    """doc_id, variant_signals, confidence: which signal patterns a text has, and 0.35 + 0.2 for each, at most 1."""
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in signals.items()]))
-    return texts.select("doc_id", found.alias("s")).select("doc_id", F.array_join("s", ",").alias("variant_signals"), F.round(F.least(F.lit(1.0), 0.35 + 0.2 * F.size("s")), 4).alias("confidence"))
+def layout_variant(pages: DataFrame, by: list[str], signals: dict[str, str]) -> DataFrame:
+    """``by``, variant_signals, confidence of documents by their pages (``by``, page_number, text): which signals
+    any page has (patterns on small letters), and whether there is a third page; 0.35 + 0.2 for each, at most 1."""
+    low = F.translate(F.lower(F.coalesce("text", F.lit(""))), "ё", "е")
+    any_ = pages.groupBy(*by).agg(*[F.max(low.rlike(p)).alias(n) for n, p in signals.items()], (F.max("page_number") >= 3).alias("continuation_page"))
+    found = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in (*signals, "continuation_page")]))
+    return any_.select(*by, found.alias("s")).select(*by, F.array_join("s", ",").alias("variant_signals"), F.round(F.least(F.lit(1.0), 0.35 + 0.2 * F.size("s")), 4).alias("confidence"))

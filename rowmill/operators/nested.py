@@ -72,9 +72,7 @@ NODE_SCHEMA = "source string, node_type string, node_path string, place int, pre
 
 def _opened(value: object, wants: type | tuple) -> object:
     """A text that holds the wanted object or list is opened, however often it was encoded."""
-    for _ in range(4):
-        if not isinstance(value, str) or value.lstrip()[:1] not in ("{", "[", '"'):
-            break
+    while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):  # each opening makes it shorter
         try:
             inner = json.loads(value)
         except ValueError:
@@ -192,14 +190,11 @@ def walk(text: str | None, spec: Spec, source: str, with_fields: bool = True, cl
         return []
     try:
         value = json.loads(text)
-        for _ in range(4):
-            if isinstance(value, str):
-                value = json.loads(value)
+        while isinstance(value, str):  # each opening makes it shorter
+            value = json.loads(value)
     except (ValueError, RecursionError) as e:
         return [(source, "unreadable", source, None, clock + 1, clock + 2, 1, None, type(e).__name__)]
-    for _ in range(4):
-        if not isinstance(value, dict) or any(k in value for k in spec.children):
-            break
+    while isinstance(value, dict) and not any(k in value for k in spec.children):
         inner = next((v for k in WRAPPERS if isinstance(v := _opened(value.get(k), dict), dict)), None)
         if inner is None:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.functions.text import NO_NAMES, canon, ws
+from rowmill.functions.text import NAME_STOPS, NO_NAMES, ws
 
 # Endings of patronymics.
 PATRONYMIC = "(?iu)(ич|вич|ович|евич|ична|овна|евна|кызы)$"
@@ -17,44 +17,39 @@ def name_score(full_name: Column) -> Column:
     w = F.filter(F.split(ws(n), " "), lambda t: t != "")
     size = F.when(F.size(w) == 3, 12).when(F.size(w) == 2, 4).when(F.size(w) > 3, -6).otherwise(0)
     word = lambda t: (
-        F.when(t.isin(NO_NAMES), -14).otherwise(0) + F.when(~t.rlike("^[A-ZА-ЯЁ]"), -3).otherwise(0) + F.when(F.length(F.btrim(t, F.lit("-"))) < 2, -4).otherwise(0) + F.when(t.rlike("[A-Za-z]"), -10).otherwise(0)
+        F.when(t.isin(NO_NAMES + NAME_STOPS), -14).otherwise(0) + F.when(~t.rlike("^[A-ZА-ЯЁ]"), -3).otherwise(0) + F.when(F.length(F.btrim(t, F.lit("-"))) < 2, -4).otherwise(0) + F.when(t.rlike("[A-Za-z]"), -10).otherwise(0)
     )
     return F.when(n == "", -20).otherwise(size + F.aggregate(w, F.lit(0), lambda a, t: a + word(t)))
 
 
 def suspicious(full_name: Column) -> Column:
-    """A name that isn't three words, or has a word that is no name or Latin letters."""
+    """A name that isn't three words, or has a word that names a place or is in Latin letters."""
     w = F.filter(F.split(ws(F.coalesce(full_name, F.lit(""))), " "), lambda t: t != "")
-    return (F.size(w) != 3) | F.exists(w, lambda t: t.isin(NO_NAMES) | t.rlike("[A-Za-z]"))
+    return (F.size(w) != 3) | F.exists(w, lambda t: t.isin(NAME_STOPS) | t.rlike("[A-Za-z]"))
 
 
 def parse_score(persons: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, score, n_suspicious of a parse: 20 a person, its name, 5 a birthday, 3 a document."""
-    one = 20 + name_score(F.col("full_name")) + F.when(F.col("birthday_date").rlike(r"^\d{2}\.\d{2}\.\d{4}$"), 5).otherwise(0) + F.when(F.col("document_id").isNotNull(), 3).otherwise(0)
+    """``by``, score, n_suspicious of a parse: 20 a person, its name, 5 a birthday, 4 a document's text, 3 its number.
+    persons: ``by``, full_name, birthday_date, raw, number."""
+    one = 20 + name_score(F.col("full_name")) + F.when(F.col("birthday_date").rlike(r"^\d{2}\.\d{2}\.\d{4}$"), 5).otherwise(0) + F.when(F.coalesce("raw", F.lit("")) != "", 4).otherwise(0) + F.when(F.coalesce("number", F.lit("")) != "", 3).otherwise(0)
     return persons.groupBy(*by).agg(F.sum(one).cast("long").alias("score"), F.count_if(suspicious(F.col("full_name"))).alias("n_suspicious"))
 
 
 def better_parse(primary: DataFrame, fallback: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, method: the parse with fewer suspicious names, then the higher score; the primary of equal ones."""
+    """``by``, method: the primary parse if it has fewer suspicious names, else the one with the higher score, the primary of equal ones."""
     a = parse_score(primary, by).select(*by, F.col("score").alias("s1"), F.col("n_suspicious").alias("n1"))
     b = parse_score(fallback, by).select(*by, F.col("score").alias("s2"), F.col("n_suspicious").alias("n2"))
-    second = F.col("n1").isNull() | (F.col("n2") < F.col("n1")) | ((F.col("n2") == F.col("n1")) & (F.col("s2") > F.col("s1")))
+    second = ~F.coalesce(F.col("n1") < F.coalesce("n2", F.lit(0)), F.lit(False)) & (F.coalesce("s2", F.lit(0)) > F.coalesce("s1", F.lit(0)))
     return a.join(b, by, "full").select(*by, F.when(F.coalesce(second, F.lit(False)), "fallback").otherwise("primary").alias("method"))
 
 
 def complete_names(people: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
-    """People with ``matched``: the candidate of their document that their name fits best.
+    """People with ``matched``: the candidate of their document that their name stands for (see
+    :func:`rowmill.operators.reconcile.best_candidate`). candidates: by, candidate."""
+    from rowmill.operators.reconcile import best_candidate
 
-    Words are compared in their places, one a beginning of the other; names of three words
-    need three such words, shorter ones two. Ties: the first in order. candidates: by, candidate.
-    """
-    x, y = F.split(canon("full_name"), " "), F.split(canon("candidate"), " ")
-    alike = F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p.isNotNull() & q.isNotNull() & (p.startswith(q) | q.startswith(p)), 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    need = F.when(F.size(x) >= 3, 3).otherwise(2)
-    key = [c for c in people.columns]
-    met = people.join(candidates, by).withColumn("_n", alike).filter(F.col("_n") >= need)
-    best = met.groupBy(*key).agg(F.min_by("candidate", F.struct(-F.col("_n"), "candidate")).alias("matched"))
-    return people.join(best, key, "left")
+    own = candidates.groupBy(*by).agg(F.sort_array(F.collect_set("candidate")).alias("_c"))  # the owners and tenant of one document
+    return people.join(own, by, "left").withColumn("matched", best_candidate(F.col("full_name"), F.col("_c"))).drop("_c")
 
 
 def unused(candidates: DataFrame, matched: DataFrame, by: list[str]) -> DataFrame:
@@ -72,5 +67,6 @@ def roles(owners: DataFrame, tenants: DataFrame, residents: DataFrame) -> DataFr
 
 
 def registration_status(raw: Column) -> Column:
-    """``without_registration`` if the text says so, however it is broken, else ``registered``."""
-    return F.when(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), r"[\s-]+", "").rlike("безрегистрации"), "without_registration").otherwise("registered")
+    """``without_registration`` if the text says so, whatever its signs, breaks and ending, else ``registered``."""
+    letters = F.regexp_replace(F.translate(F.lower(F.coalesce(raw, F.lit(""))), "ё", "е"), "[^а-яa-z0-9]+", "")
+    return F.when(letters.contains("безрегистрац"), "without_registration").otherwise("registered")

@@ -39,10 +39,14 @@ def q_residents(s, d):
     return line.select("doc_id", "page_number", name.alias("full_name"), F.col("b.text").alias("birthday_date")).filter("full_name RLIKE '^[^ ]+ [^ ]+'")
 
 
+NOISY = "[А-Яа-яЁё][0-9A-Za-z][А-Яа-яЁё]"
+
+
 def q_second_pass(s, d):
+    """Pages whose text has a foreign sign inside a word are read again; the second reading stays if it has more words."""
     pages = form_pages(s, d)
-    rows = pages.select("doc_id", "page_number", "page_id", F.substring(F.decode("image", "UTF-8"), 1, 40).alias("text"))
-    done = second_pass(rows, pages, "mock", F.length("text") >= 40, "page_id", "text")
+    rows = pages.select("doc_id", "page_number", "page_id", F.decode("image", "UTF-8").alias("text"))
+    done = second_pass(rows, pages, "mock", F.col("text").rlike(NOISY), "page_id", "text")
     return done.groupBy("page_number", "replaced").agg(F.count("*").alias("n"))
 
 
@@ -69,5 +73,5 @@ QUERIES = {"page1_fields": q_page1, "recognized_words": q_recognize, "resident_r
 ORACLE = {
     "recognized_words": f"WITH {_TOK} SELECT page_number, count(*) AS n_words, CAST(sum(lft) AS BIGINT) AS sum_left, CAST(sum(12 * length(trim(tok))) AS BIGINT) AS sum_width, count(DISTINCT job_id || '#' || file_index) AS n_docs FROM w WHERE trim(tok) <> '' GROUP BY page_number",
     "rendered_words": "SELECT doc_id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents WHERE text IS NOT NULL) WHERE w <> '' GROUP BY doc_id",
-    "second_pass": f"SELECT page_number, length(substr(text, 1, 40)) >= 40 AND len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) > len(string_split(substr(text, 1, 40), ' ')) AS replaced, count(*) AS n FROM {_P} GROUP BY ALL",
+    "second_pass": f"SELECT page_number, regexp_matches(text, '{NOISY}') AND len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) > len(string_split(text, ' ')) AS replaced, count(*) AS n FROM {_P} GROUP BY ALL",
 }

@@ -87,7 +87,7 @@ def q_stream(s, d):
 
 _F, _J = current("job_files"), current("jobs")
 _COUNTS = f"SELECT job_id, count(*) AS total_files, count(*) FILTER (WHERE status = 'completed') AS completed_files, count(*) FILTER (WHERE status = 'failed') AS failed_files, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages FROM {_F} GROUP BY job_id"
-_FINAL = f"SELECT job_id, CASE WHEN completed_files + failed_files < total_files THEN 'running' WHEN failed_files = 0 THEN 'completed' WHEN completed_files = 0 THEN 'failed' ELSE 'completed_with_errors' END AS state FROM ({_COUNTS})"
+_FINAL = f"SELECT job_id, CASE WHEN completed_files + failed_files < total_files THEN 'running' WHEN failed_files = 0 THEN 'completed' ELSE 'completed_with_errors' END AS state FROM ({_COUNTS})"
 _OLD = f"SELECT job_id FROM {_J} WHERE created_at < TIMESTAMP '{NOW} 00:00:00' - INTERVAL 400 DAY"
 _STATE = "SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type, count(*) AS n_events FROM events GROUP BY user_id"
 QUERIES = {

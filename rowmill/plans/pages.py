@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rowmill.operators import layout as L
 from rowmill.plans.sql import DATE, WORDS
-from rowmill.tables import table
+from rowmill.plans.sql import current as once
+from rowmill.tables import current, table
 
 COLUMNS = [("name", 0, 560), ("birth", 560, 930), ("document", 1180, 2050), ("departure", 2050, 100000)]
 
@@ -33,12 +34,12 @@ def q_greedy_lines(s, d):
 
 
 def q_gap_clusters(s, d):
-    found = L.gap_clusters(words(s, d).filter("length(text) > 3"), 100)
+    found = L.gap_clusters(words(s, d), 12)
     return long(L.bounding_boxes(found, "doc_id", "page_number", "top", "cluster"), "top", "cluster", "box_left", "box_right").select("doc_id", "page_number", "top", "cluster", "box_left", "box_right", "n_words")
 
 
 def q_leftmost_part(s, d):
-    return long(L.leftmost_part(words(s, d).filter("length(text) > 3")).groupBy("doc_id", "page_number", "top").agg(F.count("*").alias("n_words"), F.max("left").alias("last_left")), "top", "last_left")
+    return long(L.leftmost_part(words(s, d)).groupBy("doc_id", "page_number", "top").agg(F.count("*").alias("n_words"), F.max("left").alias("last_left")), "top", "last_left")
 
 
 def q_anchors(s, d):
@@ -84,22 +85,24 @@ def q_crop_bounds(s, d):
 
 
 def q_cluster_choice(s, d):
-    found = L.gap_clusters(words(s, d).filter("length(text) > 3"), 100)
+    found = L.gap_clusters(words(s, d), 12)
     scored = found.groupBy("doc_id", "page_number", "top", "cluster").agg(F.min("left").alias("box_left"), F.count_if(F.col("text").rlike("[0-9]")).alias("digits"), F.count("*").alias("n"))
     return long(L.cluster_choice(scored, F.least(F.lit(3), F.col("digits")) + F.when(F.col("n") >= 2, 1).otherwise(0)), "top", "cluster", "best_score")
 
 
-SIGNALS = {"dates": "[0-9]{2}[.][0-9]{2}[.][0-9]{4}", "numbers": "№", "people": "[А-Я][.] ?[А-Я][.]"}
+# What the pages of a form say about its layout.
+SIGNALS = {"temporary_registration_block": "кроме того, на данной площади зарегистрированы по месту пребывания", "benefits_block": "наличие мер социальной поддержки|субсидия"}
 
 
 def q_layout_variant(s, d):
-    return L.layout_variant(table(s, d, "documents").filter("text IS NOT NULL"), SIGNALS)
+    p = current(s, d, "ocr_pages", "page_id", "job_id", "file_index", "page_number", "text")
+    return L.layout_variant(p, ["job_id", "file_index"], SIGNALS)
 
 
 _BAND = f"""anchor AS (SELECT doc_id, page_number, tp AS anchor_top FROM words WHERE regexp_matches(text, '{DATE}') GROUP BY ALL),
  banded AS (SELECT w.*, a.anchor_top FROM words w ASOF JOIN anchor a ON w.doc_id = a.doc_id AND w.page_number = a.page_number AND w.tp >= a.anchor_top - 18)"""
 _COLUMN = "CASE " + " ".join(f"WHEN lft + wd / 2.0 >= {a} AND lft + wd / 2.0 < {b} THEN '{n}'" for n, a, b in COLUMNS) + " END"
-_GAPS = "gaps AS (SELECT *, CASE WHEN lft - max(lft + wd) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 100 THEN 1 ELSE 0 END AS o FROM words WHERE length(text) > 3), clustered AS (SELECT *, CAST(sum(o) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord) AS BIGINT) AS cluster FROM gaps)"
+_GAPS = "gaps AS (SELECT *, CASE WHEN lft - max(lft + wd) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 12 THEN 1 ELSE 0 END AS o FROM words), clustered AS (SELECT *, CAST(sum(o) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord) AS BIGINT) AS cluster FROM gaps)"
 _FIRST = f"hits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, tp, lft, ord) AS r FROM words WHERE regexp_matches(text, '{DATE}'))"
 QUERIES = {
     "words": q_words, "reading_order_text": q_reading_order_text, "greedy_lines": q_greedy_lines, "gap_clusters": q_gap_clusters, "leftmost_part": q_leftmost_part, "date_anchors": q_anchors, "row_bands": q_row_bands, "assign_columns": q_assign_columns,
@@ -116,7 +119,7 @@ ORACLE = {
       SELECT w.doc_id, w.page_number, s.st AS line_top, string_agg(w.text, ' ' ORDER BY w.lft, w.tp, w.ord) AS line_text, count(*) AS n_words
       FROM words w JOIN starts s ON w.doc_id = s.doc_id AND w.page_number = s.page_number AND w.tp BETWEEN s.st AND s.st + 90 GROUP BY ALL""",
     "gap_clusters": f"WITH {WORDS}, {_GAPS} SELECT doc_id, page_number, tp AS top, cluster, min(lft) AS box_left, max(lft + wd) AS box_right, count(*) AS n_words FROM clustered GROUP BY ALL",
-    "leftmost_part": f"WITH {WORDS}, j AS (SELECT *, CASE WHEN lft - lag(lft) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord) >= 160 THEN 1 ELSE 0 END AS o FROM words WHERE length(text) > 3), k AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord) AS g FROM j) SELECT doc_id, page_number, tp AS top, count(*) AS n_words, max(lft) AS last_left FROM k WHERE g = 0 GROUP BY ALL",
+    "leftmost_part": f"WITH {WORDS}, j AS (SELECT *, CASE WHEN lft - lag(lft) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord) >= 160 THEN 1 ELSE 0 END AS o FROM words), k AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, page_number, tp ORDER BY lft, ord) AS g FROM j) SELECT doc_id, page_number, tp AS top, count(*) AS n_words, max(lft) AS last_left FROM k WHERE g = 0 GROUP BY ALL",
     "date_anchors": f"WITH {WORDS} SELECT DISTINCT doc_id, page_number, tp AS anchor_top FROM words WHERE regexp_matches(text, '{DATE}')",
     "row_bands": f"WITH {WORDS}, {_BAND} SELECT doc_id, page_number, anchor_top, count(*) AS n_words, min(tp) AS first_top, max(tp) AS last_top FROM banded GROUP BY ALL",
     "assign_columns": f"WITH {WORDS} SELECT doc_id, page_number, {_COLUMN} AS column_name, count(*) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM words WHERE {_COLUMN} IS NOT NULL GROUP BY ALL",
@@ -131,5 +134,5 @@ ORACLE = {
     "cluster_choice": f"""WITH {WORDS}, {_GAPS}, c AS (SELECT doc_id, page_number, tp, cluster, min(lft) AS bl, least(3, count(*) FILTER (WHERE regexp_matches(text, '[0-9]'))) + CASE WHEN count(*) >= 2 THEN 1 ELSE 0 END AS sc FROM clustered GROUP BY ALL),
       b AS (SELECT *, max(sc) OVER (PARTITION BY doc_id, page_number, tp) AS best FROM c), a AS (SELECT *, min(CASE WHEN sc = best THEN bl END) OVER (PARTITION BY doc_id, page_number, tp) AS near_ FROM b)
       SELECT doc_id, page_number, tp AS top, arg_min(cluster, bl) AS cluster, CAST(max(best) AS BIGINT) AS best_score FROM a WHERE sc >= greatest(2, best - 1) AND bl <= near_ + 120 GROUP BY ALL""",
-    "layout_variant": "WITH f AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in SIGNALS.items()) + "], lambda x: x IS NOT NULL) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, array_to_string(s, ',') AS variant_signals, round(least(1.0::DOUBLE, 0.35::DOUBLE + 0.2::DOUBLE * len(s)), 4) AS confidence FROM f",
+    "layout_variant": "WITH f AS (SELECT job_id, file_index, list_filter([" + ", ".join(f"CASE WHEN bool_or(regexp_matches(replace(lower(coalesce(text, '')), 'ё', 'е'), '{p}')) THEN '{n}' END" for n, p in SIGNALS.items()) + f", CASE WHEN max(page_number) >= 3 THEN 'continuation_page' END], lambda x: x IS NOT NULL) AS s FROM {once('ocr_pages')} GROUP BY ALL) SELECT job_id, file_index, array_to_string(s, ',') AS variant_signals, round(least(1.0::DOUBLE, 0.35::DOUBLE + 0.2::DOUBLE * len(s)), 4) AS confidence FROM f",
 }

@@ -64,7 +64,7 @@ def q_pages(s, d):
 
 
 def q_numbers(s, d):
-    """Files whose name has a number, in the order of the numbers; names without one come last."""
+    """File names with the number in them (null without one), which sorts them."""
     f = cur(s, d, "job_files", "job_id", "file_index", "filename")
     number = F.nullif(F.regexp_extract("filename", r"(\d+)", 1), F.lit("")).cast("int")
     return f.groupBy("filename").agg(F.count("*").alias("n"), F.first(number).alias("number")).withColumn("number", F.col("number").cast("long"))

@@ -69,7 +69,7 @@ def q_title_case(s, d):
 
 
 def q_merge_hyphens(s, d):
-    return cur(s, d, "residents", "resident_id", "full_name").filter("full_name LIKE '%- %'").select("resident_id", T.merge_hyphens("full_name").alias("full_name"))
+    return cur(s, d, "residents", "resident_id", "full_name").filter("full_name IS NOT NULL").select("resident_id", T.merge_hyphens("full_name").alias("full_name"))
 
 
 LITERALS = [("гор. ", "город "), ("р-ну", "району"), ("р-на", "района"), ("Отд.", "Отдел"), ("внутр.", "внутренних")]

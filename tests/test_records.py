@@ -74,10 +74,10 @@ def test_persons(spark):
     df = spark.createDataFrame([("Зорин Пётр Ильич",), ("Зорин Petr",), ("",), (None,), ("Документ",)], "n string")
     assert [tuple(r) for r in df.select(P.name_score(F.col("n")), P.suspicious(F.col("n"))).collect()] == [(12, False), (-6, True), (-20, True), (-20, True), (-14, True)]
     people = spark.createDataFrame([(1, "Зорин П"), (1, "Волков"), (2, "Зорин Пётр")], "d int, full_name string")
-    cands = spark.createDataFrame([(1, "Зорин Пётр Ильич"), (1, "Волков Иван")], "d int, candidate string")
+    cands = spark.createDataFrame([(1, "Зорин Пётр Ильич"), (1, "Волков Иван"), (1, "Лапин Олег Ильич"), (2, "Зорин Олег Ильич"), (2, "Зорин Иван Ильич")], "d int, candidate string")
     got = P.complete_names(people, cands, ["d"])
-    assert {(r.full_name, r.matched) for r in got.collect()} == {("Зорин П", "Зорин Пётр Ильич"), ("Волков", None), ("Зорин Пётр", None)}
-    assert [r.candidate for r in P.unused(cands, got, ["d"]).collect()] == ["Волков Иван"]
+    assert {(r.full_name, r.matched) for r in got.collect()} == {("Зорин П", "Зорин Пётр Ильич"), ("Волков", "Волков Иван"), ("Зорин Пётр", None)}  # a lone surname takes the only candidate of it
+    assert [r.candidate for r in P.unused(cands, got, ["d"]).orderBy("d", F.desc("candidate")).collect()] == ["Лапин Олег Ильич", "Зорин Олег Ильич", "Зорин Иван Ильич"]
     assert [r[0] for r in spark.createDataFrame([("без реги-\nстрации",), (None,)], "t string").select(P.registration_status(F.col("t"))).collect()] == ["without_registration", "registered"]
 
 
