@@ -41,6 +41,17 @@ def cyrillic_lookalikes(x: Column | str) -> Column:
     return F.when(v.rlike("[A-Za-z]") & v.rlike(f"[{C}]"), F.translate(v, LATIN, CYRILLIC)).otherwise(v)
 
 
+# Latin letters of names and the Cyrillic ones they stand for.
+NAME_LATIN, NAME_CYRILLIC = "AaBCcEeHIiKMOoPpRrTVvXxYy", "АаВСсЕеНІиКМОоРрРрТВвХхУу"
+
+
+def name_words(x: Column | str) -> Column:
+    """Latin letters of names in Cyrillic: in words of both scripts, and in Latin words of at most four
+    letters that begin with a capital; longer Latin words stay."""
+    word = lambda w: F.when(w.rlike("[A-Za-z]") & (w.rlike(f"[{C}]") | w.rlike("^[A-Z][A-Za-z-]{0,3}$")), F.translate(w, NAME_LATIN, NAME_CYRILLIC)).otherwise(w)
+    return F.array_join(F.transform(F.regexp_extract_all(_c(x), F.lit(f"([A-Za-z{C}-]+|[^A-Za-z{C}-]+)"), F.lit(1)), word), "")
+
+
 def decimal_text(x: Column | str) -> Column:
     """Comma as point, two digits after it, cut and not rounded; null if it is no number."""
     v = F.translate(F.trim(_c(x)), ",", ".")

@@ -14,7 +14,7 @@ from rowmill.operators.identity import blank, has
 
 # Spellings of a street's type after and before its name, and the type as it is written in front.
 STREET_TYPES = [
-    ("ул(?:ица)?\\.?", "ул."), ("пр(?:-?кт|осп(?:ект)?)\\.?", "пр-кт"), ("(?:бульвар|б-р)\\.?", "б-р"), ("пер(?:еулок)?\\.?", "пер."), ("(?:шоссе|ш)\\.?", "ш."), ("(?:проезд|пр)\\.?", "пр."),
+    ("ул(?:ица)?\\.?", "ул(?:ица)?\\.?", "ул."), ("пр(?:-?кт|осп(?:ект)?)\\.?", "пр(?:-?кт|осп(?:ект)?)\\.?", "пр-кт"), ("бульвар\\.?", "б-р", "б-р"), ("пер(?:еулок)?\\.?", "пер(?:еулок)?\\.?", "пер."), ("шоссе\\.?", "ш(?:оссе)?\\.?", "ш."), ("проезд\\.?", "пр(?:оезд)?\\.?", "пр."),
 ]
 # Misread signs of addresses, and the signs.
 ADDRESS_SIGNS = [("(?iuU)\\b[uU][лЛ]\\.?", "ул. "), ("(?iuU)\\bul\\.", "ул. "), ("(?uU)\\b[KК][BВ]\\.?\\s*", "кв. "), ("(?iuU)\\b(\\d{6})\\s+г(?![\\wа-яё])", "$1")]
@@ -37,11 +37,11 @@ def street(x: Column) -> Column:
 
     def typed(s: Column) -> Column:
         out = F.when(F.lit(False), F.lit(None).cast("string"))
-        for spelled, short in STREET_TYPES:  # behind the name, with or without a type in front
-            name = F.regexp_extract(s, f"(?iu)^(?:{spelled}\\s+)?(.+?)\\s+{spelled}[:;,]?$", 1)
+        for behind, front, short in STREET_TYPES:  # behind the name, with or without a type in front
+            name = F.regexp_extract(s, f"(?iu)^(?:{front}\\s+)?(.+?)\\s+{behind}[:;,]?$", 1)
             out = out.when(name != "", F.concat(F.lit(short + " "), name))
-        for spelled, short in STREET_TYPES:  # in front only
-            name = F.regexp_extract(s, f"(?iu)^{spelled}\\s+(.+)$", 1)
+        for _, front, short in STREET_TYPES:  # in front only
+            name = F.regexp_extract(s, f"(?iu)^{front}\\s+(.+)$", 1)
             out = out.when(name != "", F.concat(F.lit(short + " "), name))
         return out.otherwise(s)
 
@@ -99,7 +99,7 @@ def address(lines: Column) -> Column:
         flat = parseable(F.array_join(ls, " "))
         line = F.get(F.filter(ls, is_street_line), F.lit(0))
         parts = F.struct(
-            street(line).alias("street"), F.when(found(flat, "дом\\s*(?:№|ng|no)?\\s*([\\w/-]+)") != "N", found(flat, "дом\\s*(?:№|ng|no)?\\s*([\\w/-]+)")).alias("house"), found(flat, "кор(?:п\\.?|:)?\\s*([\\w/-]+)").alias("building"),
+            street(F.regexp_replace(line, "(?iu)[,\\s]+(?:дом|корп|строение|кв)(?![а-яё]).*$", "")).alias("street"), F.when(found(flat, "дом\\s*(?:№|ng|no)?\\s*([\\w/-]+)") != "N", found(flat, "дом\\s*(?:№|ng|no)?\\s*([\\w/-]+)")).alias("house"), found(flat, "кор(?:п\\.?|:)?\\s*([\\w/-]+)").alias("building"),
             found(flat, "строение\\s*([\\w/-]+)").alias("structure"), found(flat, "кв\\.?\\s*(\\d+)").alias("flat"), leading_number(ls).alias("lead"),
         )
         whole = lambda p: let(F.coalesce(p["flat"], p["lead"], standalone_number(ls, p["house"])), lambda f: F.struct(
@@ -215,14 +215,14 @@ def document_lines(lines: Column) -> Column:
 
 
 def passport_lines(lines: Column) -> Column:
-    """The lines of the present passport: from the first that names one to the first with a date, and a lone quoted word behind it; the first two if none names one."""
+    """The lines of the present passport: from the first that names one (the label doesn't) to the first with a date, and a lone quoted word behind it; the first two if none names one."""
     at = lambda p: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull())
-    first = F.array_min(at("(?iu)паспорт"))
+    first = F.array_min(at("(?iu)паспорт(?!н)"))
     dated = F.array_min(F.filter(at("\\d{2}\\.\\d{2}\\.\\d{4}"), lambda i: i >= first))
-    again = F.array_min(F.filter(at("(?iu)паспорт"), lambda i: i > first))
+    again = F.array_min(F.filter(at("(?iu)паспорт(?!н)"), lambda i: i > first))
     last = F.least(F.coalesce(dated, F.size(lines) - 1), F.coalesce(again - 1, F.size(lines) - 1))
     behind = F.get(lines, last + 1)
-    more = F.when((last == dated) & behind.rlike("^[\"'«]?[А-ЯЁа-яё-]{3,}[\"'»]?$") & ~behind.rlike("(?iu)паспорт"), 1).otherwise(0)
+    more = F.when((last == dated) & behind.rlike("^[\"'«]?[А-ЯЁа-яё-]{3,}[\"'»]?$") & ~behind.rlike("(?iu)паспорт(?!н)"), 1).otherwise(0)
     return F.when(first.isNull(), F.slice(lines, 1, 2)).otherwise(F.slice(lines, first + 1, last - first + 1 + more))
 
 

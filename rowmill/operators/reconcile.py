@@ -157,12 +157,12 @@ def without_noise(tokens: Column) -> Column:
 
 def prefers_page1(one: Column, two: Column) -> Column:
     """Whether the applicant's document of page 1 is better than the resident's: more confidence, or the
-    same and a longer issuer that begins like the other."""
+    same and more points, or a longer issuer that begins like the other."""
     family = ~D.has(one["document_type"]) | ~D.has(two["document_type"]) | (F.lower(one["document_type"]) == F.lower(two["document_type"]))
     by1, by2 = ws(F.coalesce(one["issued_by"], F.lit(""))), ws(F.coalesce(two["issued_by"], F.lit("")))
     longer = (by1 != "") & (by2 != "") & (F.length(by1) > F.length(by2)) & by1.startswith(by2)
     a, b = D.confidence(one), D.confidence(two)
-    return F.coalesce(family & ((a > b) | (a == b) & longer), F.lit(False))
+    return F.coalesce(family & ((a > b) | (a == b) & (longer | (document_points(one) > document_points(two)))), F.lit(False))
 
 
 def prefers_page1_by_number(one: Column, two: Column) -> Column:

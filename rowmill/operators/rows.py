@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.functions.text import NAME_STOPS, clamp, let, merge_hyphens, name_tokens, ws
+from rowmill.functions.text import name_words as name_text
 from rowmill.operators import departures as P
 from rowmill.operators import identity as D
 from rowmill.operators.layout import anchored_groups
@@ -274,9 +275,7 @@ def name_cluster(words: Column) -> Column:
 def full_name(words: Column) -> Column:
     """The name of a row: Cyrillic words with a capital, parted where they run together, without the form's
     words and places; three at most."""
-    from rowmill.functions.text import cyrillic_lookalikes
-
-    tidy = lambda t: cyrillic_lookalikes(F.regexp_replace(t, f"{DATE}.*$", ""))
+    tidy = lambda t: name_text(F.regexp_replace(t, f"{DATE}.*$", ""))
     tokens = F.flatten(F.transform(F.array_sort(name_cluster(words)), lambda w: F.regexp_extract_all(tidy(w["text"]), F.lit("([А-ЯЁа-яё-]+)"), F.lit(1))))
     joined = F.split(merge_hyphens(F.array_join(split_tokens(tokens), " ")), " ")
     kept = F.filter(F.transform(joined, lambda t: F.btrim(t, F.lit("-"))), lambda t: (F.length(t) >= 2) & ~t.isin(NAME_STOPS) & t.rlike("^[А-ЯЁ]"))
