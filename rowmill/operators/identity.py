@@ -244,8 +244,11 @@ def read_as(raw: Column, kind_: Column, hints: Column | None = None) -> Column:
 
 def read_cell(raw: Column, wanted: Column | None = None, hints: Column | None = None) -> Column:
     """The document of a cell, read as its kind (``wanted`` if given); null for what is none."""
-    what = F.coalesce(wanted, kind(raw)) if wanted is not None else kind(raw)
-    return let(F.when(F.trim(raw) != "", what), lambda w: F.when(w.isin(PASSPORT, REFERENCE, CERTIFICATE), read_as(raw, w, hints)))
+    def read(r: Column) -> Column:
+        what = F.coalesce(wanted, kind(r)) if wanted is not None else kind(r)
+        return let(F.when(F.trim(r) != "", what), lambda w: F.when(w.isin(PASSPORT, REFERENCE, CERTIFICATE), read_as(r, w, hints)))
+
+    return let(raw, read)
 
 
 # Comparing documents -----------------------------------------------------------------------

@@ -161,25 +161,26 @@ def prefers_page1(one: Column, two: Column) -> Column:
     family = ~D.has(one["document_type"]) | ~D.has(two["document_type"]) | (F.lower(one["document_type"]) == F.lower(two["document_type"]))
     by1, by2 = ws(F.coalesce(one["issued_by"], F.lit(""))), ws(F.coalesce(two["issued_by"], F.lit("")))
     longer = (by1 != "") & (by2 != "") & (F.length(by1) > F.length(by2)) & by1.startswith(by2)
-    a, b = D.confidence(one), D.confidence(two)
-    return F.coalesce(family & ((a > b) | (a == b) & (longer | (document_points(one) > document_points(two)))), F.lit(False))
+    facts = F.struct(D.confidence(one).alias("a"), D.confidence(two).alias("b"), (document_points(one) > document_points(two)).alias("points"))
+    return let(facts, lambda f: F.coalesce(family & ((f["a"] > f["b"]) | (f["a"] == f["b"]) & (longer | f["points"])), F.lit(False)))
 
 
-def prefers_page1_by_number(one: Column, two: Column) -> Column:
-    """The same for documents of one number: another series, or an issuer that reads like an address."""
+def prefers_page1_by_number(one: Column, two: Column, better: Column | None = None) -> Column:
+    """The same for documents of one number: another series, or an issuer that reads like an address.
+    better: :func:`prefers_page1`, if it is known."""
     by = F.coalesce(two["issued_by"], F.lit(""))
     same = D.has(one["number"]) & (ws(one["number"]) == ws(two["number"]))
     other = D.has(one["series"]) & D.has(two["series"]) & (ws(one["series"]) != ws(two["series"]))
     spoilt = by.rlike(r"\d|(?iu)ул\.|дом|кв\.|мкр") | by.rlike("MOCK|MVD|HC|p-ne|p/o")
     family = ~D.has(one["document_type"]) | ~D.has(two["document_type"]) | (F.lower(one["document_type"]) == F.lower(two["document_type"]))
-    return F.coalesce(family & same & (other | spoilt | prefers_page1(one, two)), F.lit(False))
+    return F.coalesce(family & same & (other | spoilt | (prefers_page1(one, two) if better is None else better)), F.lit(False))
 
 
 def subject_document(one: Column, two: Column, person: Column, subject: Column) -> Column:
     """The document a resident is published with: page 1's if it is of the same number and better, or of
     the applicant (equal names) and better."""
     named = D.has(person) & D.has(subject) & (name_key(person) == name_key(subject))
-    return F.when(prefers_page1_by_number(one, two) | named & prefers_page1(one, two), one).otherwise(two)
+    return let(prefers_page1(one, two), lambda better: F.when(prefers_page1_by_number(one, two, better) | named & better, one).otherwise(two))
 
 
 def reconcile(people: DataFrame, page1: DataFrame, by: list[str]) -> DataFrame:
@@ -198,9 +199,9 @@ def reconcile(people: DataFrame, page1: DataFrame, by: list[str]) -> DataFrame:
     j = j.join(left, by, "left").withColumn("_m", met)
     spare = F.array_except(names, F.coalesce("written", none))
     only = F.when(~young & F.col("_m").isNull() & incomplete(F.col("full_name")) & (F.size(spare) == 1), spare[0])
-    name = registered_name(F.coalesce("_m", only, "full_name"))
-    document = F.when(young, F.col("document")).otherwise(subject_document(F.col("page1_document"), F.col("document"), name, F.col("subject")))
-    return j.filter(~F.coalesce("unregistered", F.lit(False))).withColumn("full_name", name).select(*by, "key", "full_name", "birthday_date", F.coalesce(document, F.col("document")).alias("document"))
+    j = j.filter(~F.coalesce("unregistered", F.lit(False))).withColumn("_young", young).withColumn("_name", registered_name(F.coalesce("_m", only, "full_name")))
+    document = F.when(F.col("_young"), F.col("document")).otherwise(subject_document(F.col("page1_document"), F.col("document"), F.col("_name"), F.col("subject")))
+    return j.withColumn("_document", document).select(*by, "key", F.col("_name").alias("full_name"), "birthday_date", F.coalesce("_document", "document").alias("document"))
 
 
 def person_trace(people: DataFrame, by: list[str], method: str) -> DataFrame:

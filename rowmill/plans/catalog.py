@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p1", "pages", "scalars", "documents", "jobs", "people", "reports", "forms", "cells", "table_rows", "page_one", "merged", "cases")
+MODULES = ("p1", "pages", "scalars", "documents", "jobs", "people", "reports", "forms", "cells", "table_rows", "page_one", "merged", "flow", "cases")
 
 
 def _gather(attribute: str) -> dict:

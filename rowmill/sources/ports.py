@@ -134,7 +134,87 @@ def _easy(library, batches: Batches) -> Batches:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in WORDS.split(", ")])
 
 
-ENGINES: dict[str, Callable[[], Engine]] = {"mock": mock, "easyocr": _external("easyocr", _easy)}
+def _paddle(library, batches: Batches) -> Batches:
+    reader = library.PaddleOCR(use_doc_orientation_classify=False, use_doc_unwarping=False, lang="ru")
+    for pdf in batches:
+        rows = []
+        for doc, page, image in zip(pdf["doc_id"], pdf["page_number"], pdf["image"]):
+            n = 0
+            for found in reader.predict(_pixels(bytes(image))):
+                for polygon, text, confidence in zip(found["rec_polys"], found["rec_texts"], found["rec_scores"]):
+                    rows.append((doc, page, n, text, float(confidence), [[float(x), float(y)] for x, y in polygon]))
+                    n += 1
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in WORDS.split(", ")])
+
+
+def _pixels(image: bytes):
+    import io
+
+    import numpy as np
+    from PIL import Image
+
+    return np.array(Image.open(io.BytesIO(image)).convert("RGB"))
+
+
+def empty() -> Engine:
+    """No words for any page (an engine that is named but not built yet)."""
+
+    def run(batches: Batches) -> Batches:
+        for _ in batches:
+            yield pd.DataFrame(columns=[c.split()[0] for c in WORDS.split(", ")])
+
+    return run
+
+
+ENGINES: dict[str, Callable[[], Engine]] = {"mock": mock, "easyocr": _external("easyocr", _easy), "paddleocr": _external("paddleocr", _paddle), "tesseract": empty}
+
+#: Steps between rendering and recognition, by name; each maps pages to pages. They leave a page as it
+#: is until one is put in their place.
+PREPROCESS: dict[str, Callable[[DataFrame], DataFrame]] = dict.fromkeys(("contrast", "denoise", "deskew", "classify"), lambda pages: pages)
+
+
+def preprocess(pages: DataFrame, steps: tuple[str, ...] = ("contrast", "classify")) -> DataFrame:
+    """Pages after the named steps, in their order."""
+    for name in steps:
+        if name not in PREPROCESS:
+            raise ValueError(f"no step {name!r}; there are {sorted(PREPROCESS)}")
+        pages = PREPROCESS[name](pages)
+    return pages
+
+
+def crops(pages: DataFrame, boxes_: DataFrame, cut: Callable[[bytes, tuple[int, int, int, int]], bytes] | None = None) -> DataFrame:
+    """Page rows of parts of pages: doc_id, page_number, crop, image. boxes_: doc_id, page_number, crop
+    (its number), left, top, right, bottom. cut: image bytes and box to image bytes (an image library by default)."""
+    own = cut or _cut
+
+    def run(batches: Batches) -> Batches:
+        for pdf in batches:
+            made = [own(bytes(i), (a, b, c, d)) for i, a, b, c, d in zip(pdf["image"], pdf["left"], pdf["top"], pdf["right"], pdf["bottom"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page_number": pdf["page_number"], "crop": pdf["crop"], "image": made})
+
+    met = boxes_.join(pages.select("doc_id", "page_number", "image"), ["doc_id", "page_number"])
+    return met.select("doc_id", "page_number", "crop", "left", "top", "right", "bottom", "image").mapInPandas(run, "doc_id long, page_number int, crop int, image binary")
+
+
+def _cut(image: bytes, box: tuple[int, int, int, int]) -> bytes:
+    import io
+
+    try:
+        from PIL import Image
+    except ImportError as e:
+        raise RuntimeError("cutting images needs PIL, which this executor lacks; give a function of your own") from e
+    out = io.BytesIO()
+    Image.open(io.BytesIO(image)).crop(box).save(out, "PNG")
+    return out.getvalue()
+
+
+def crop_texts(parts: DataFrame, engine: str) -> DataFrame:
+    """doc_id, page_number, crop, text of page parts, read by the engine of that name."""
+    numbered = parts.select("doc_id", (F.col("page_number") * 1000 + F.col("crop")).cast("int").alias("page_number"), "image")
+    words = recognize(numbered, engine)
+    ordered = F.sort_array(F.collect_list(F.struct("top", "left", "ord", "text")))
+    texts = words.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), " ").alias("text"))
+    return texts.select("doc_id", F.expr("page_number div 1000").cast("int").alias("page_number"), (F.col("page_number") % 1000).alias("crop"), "text")
 
 
 def render(docs: DataFrame, name: str = "poppler") -> DataFrame:

@@ -31,3 +31,9 @@ def upsert(df: DataFrame, path: str, keys: list[str], at: str) -> str:
     new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     merged.write.parquet(new)
     return new
+
+
+def save_attempts(records: DataFrame, path: str, stamp: str) -> None:
+    """Records (filename and more) as JSON, a folder for each document: the time and the file's name without its ending."""
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    records.withColumn("attempt", F.concat_ws("_", F.lit(stamp), stem)).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("attempt").json(path)
