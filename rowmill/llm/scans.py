@@ -11,12 +11,12 @@ Two passes. The first counts: words, hyphenated words, lines. From the counts co
   stand after all sorts of lines, where labels and values always follow the same ones;
 * labels that have a number of their own before them.
 
-The second pass reads each text line by line. Furniture (headers, page numbers) goes
-first, so a word broken around a header is whole again: whole lines, and learned headers
-and explicit page marks inside a line; a number alone on a line is a page number unless it
-is the value of a name before it or a label after it; a break inside a word is closed
-unless the word is written with a hyphen elsewhere; another pair classifier decides which
-of the remaining lines continue each other.
+The second pass reads each text line by line. Patterns nominate; classifiers of line pairs,
+boosted trees fitted to the sample, decide (see :func:`fit_judges`): whether a line between
+two others is furniture (a header, a page mark, a number alone on its line), which goes
+first, so a word broken around it is whole again; whether a hyphen between two pieces is a
+break; and which of the remaining lines continue each other. Learned headers and explicit page
+marks inside a line are found there.
 
 Counts cover all texts. Only fits use samples: at most ``SAMPLE`` word pairs and
 ``SAMPLE_TEXTS`` texts, chosen by hash.
@@ -81,6 +81,12 @@ def line_key(line: str) -> str:
     return " ".join(re.findall(rf"[{_C}a-z]+", _DATE.sub(" ", line.lower())))
 
 
+def before_key(line: str) -> str:
+    """The key of a line before another one; long lines are marked, as no header is that long."""
+    key = line_key(line)
+    return "#" if not key else key if len(key) <= 40 else "+" + key
+
+
 def odd_tokens(text: str) -> list[str]:
     return [t for t in _TOKEN.findall(text) if _SUSPECT.search(t) and noisy_token(t) and re.search(f"[{_C}]", t, re.I)] if _SUSPECT.search(text) else []
 
@@ -115,7 +121,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                     if after and after[0].islower():
                         hits["line", key] += 1
                     if ":" not in line and 10 <= len(line) <= 70 and not page_mark(line):
-                        n["before", f"{key}\t{'^' if not before or page_mark(before) else line_key(before)[:40] or '#'}"] += 1
+                        n["before", f"{key}\t{'^' if not before or page_mark(before) else before_key(before)}"] += 1
                     n["label", key] += 1
                     if _LONE.match(before):
                         hits["label", key] += 1
@@ -167,7 +173,7 @@ def candidate_pairs(words: DataFrame, ratio: int = 8, least: int = 12) -> DataFr
     """word, n, meant, m: rare or odd words with frequent words that share a q-gram near its
     place (three letters, four in long words) or, in words under eight letters, are one edit
     away, and are within a third of its length in edits."""
-    w = words.filter(F.length("key").between(2, 40)).select(F.col("key").alias("word"), "n")
+    w = words.filter(F.length("key") >= 2).select(F.col("key").alias("word"), "n")
     known = w.filter((F.col("n") >= least) & F.col("word").rlike(f"^[{_C}]+$")).select(F.col("word").alias("meant"), F.col("n").alias("m"))
     long_ = F.length("meant") >= 8
     known = known.withColumn("gram", F.explode(F.when(long_, _grams(F.col("meant"), 4, (0,))).otherwise(F.array_distinct(F.concat(_grams(F.col("meant"), 3, (0,)), _one_less(F.col("meant")))))))
@@ -365,10 +371,105 @@ def person_like(line: str) -> bool:
     return 2 <= len(words) <= 4 and all(w[0].isupper() and not w[0].isdigit() for w in words) and line[-1] not in ".:;," and not any(w.isdigit() for w in words)
 
 
-def furniture(lines: list[str], forms: Forms) -> list[str]:
+class Judge:
+    """A classifier over few discrete features, each combination of which is scored once."""
+
+    def __init__(self, model: Boosted):
+        self.model, self.known = model, {}
+
+    def __call__(self, x: tuple[float, ...]) -> bool:
+        if x not in self.known:
+            self.known[x] = bool(self.model.score(np.array([x]))[0] >= 0.5)
+        return self.known[x]
+
+
+def line_features(before: str, line: str, after: str, taken: bool, forms: Forms) -> tuple[float, ...]:
+    """What a nominated line and its neighbours say about it. taken: the value of the name before it was seen."""
+    lone = bool(_LONE.match(line))  # only a number alone may be a value
+    return (
+        float(page_mark(line)), float(bool(line) and forms.header(line)), float(lone), float(lone and bool(before) and person_like(before) and not taken), float(lone and line_key(after) in forms.numbered),
+        float(lone and bool(re.fullmatch(r"\d+/\d+", before))), float(before[-1:] == ":"), float(after[:1].islower()),
+    )
+
+
+def break_features(left: str, right: str, sign: str, ends_line: bool, forms: Forms, known) -> tuple[float, ...]:
+    """What two pieces and the sign between them say about it."""
+    whole = (left + right).lower()
+    return (float(sign == "¬"), float(ends_line), float(right[:1].islower()), float(f"{left}-{right}".lower() in forms.hyphened), float(known(whole)), float(known(right.lower())))
+
+
+def fit_judges(texts: list[str], forms: Forms, known) -> tuple[Judge, Judge]:
+    """(furniture, breaks): classifiers of line pairs, fitted to what the sample leaves no doubt about.
+
+    Furniture: explicit marks and learned headers are; a number alone on its line is where an
+    explicit mark might stand, or if the lines around it stand side by side elsewhere; it is not beside a label that has numbers
+    before it or behind a name. Lines nobody nominates are not. Breaks: a hyphen is one if the
+    closed word is known, or if its second piece is none; it is not in a word that is
+    written with a hyphen, or between two known words that make none.
+    """
+    beside: set[tuple[str, str]] = set()
+    split = [[x for x in (y.strip() for y in t.split("\n")) if x] for t in texts]
+    for lines in split:
+        beside.update(zip(map(line_key, lines), map(line_key, lines[1:])))
+    rows: list[tuple] = []
+    labels: list[float] = []
+    pieces: list[tuple] = []
+    closed: list[float] = []
+    for lines in split:
+        for i, line in enumerate(lines):
+            before, after = lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else ""
+            x = line_features(before, line, after, False, forms)
+            value = x[3] or x[4]
+            if x[0] or x[1]:
+                rows.append(x)
+                labels.append(1.0)
+                if x[0]:  # where a mark stands, a number alone might stand
+                    rows.append(line_features(before, "1", after, False, forms))
+                    labels.append(1.0)
+            elif not x[2]:
+                if i % 8 == 0:  # most lines are of this kind
+                    rows.append(x)
+                    labels.append(0.0)
+            elif value or before and after and (line_key(before), line_key(after)) in beside:
+                rows.append(x)
+                labels.append(float(not value))
+            for left, sign, right, ends in _pieces(line, after):
+                y = break_features(left, right, sign, ends, forms, known)
+                if y[0] or y[3] or y[4] or y[5] or ends:
+                    pieces.append(y)
+                    closed.append(float(bool(y[0] or not y[3] and y[2] and (ends or y[4] or not y[5]))))
+    for w in sorted(forms.hyphened)[:SAMPLE]:  # written with a hyphen and broken there
+        left, _, right = w.partition("-")
+        for ends in (True, False):
+            pieces.append(break_features(left, right, "-", ends, forms, known))
+            closed.append(0.0)
+    for w in sorted({w for lines in split for line in lines for w in _WORD.findall(line.lower()) if len(w) >= 6 and known(w)})[: SAMPLE // 4]:  # broken on purpose
+        for sign, ends in (("-", True), ("-", False), ("¬", True)):
+            pieces.append(break_features(w[:3], w[3:], sign, ends, forms, known))
+            closed.append(1.0)
+    fit = lambda x, y, n: Judge(Boosted(rounds=30).fit(np.array(x, float).reshape(len(x), n), np.array(y)))
+    return fit(rows, labels, 8), fit(pieces, closed, 6)
+
+
+def _pieces(line: str, after: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(piece, sign, piece, whether a line ends between them) of the possible breaks of a line."""
+    for m in _INSIDE.finditer(line):
+        yield m[1], m[0][len(m[1])], m[2], False
+    if after and line[-1:] in "-¬‐" and _END.search(line):
+        left = re.search(rf"[{_C}]+$", re.sub(r"\s?[-¬‐]\s?$", "", line), re.I)
+        right = re.match(rf"[{_C}]+", after, re.I)
+        if left and right:
+            yield left[0], line.rstrip()[-1], right[0], True
+
+
+def furniture(lines: list[str], forms: Forms, judge: Judge) -> list[str]:
     """``header``, ``pagenum`` or "" for each line."""
     kinds = ["header" if x and forms.header(x) else "pagenum" if x and page_mark(x) else "" for x in lines]
-    body = [i for i, x in enumerate(lines) if x and not kinds[i]]
+    filled = [i for i, x in enumerate(lines) if x]
+    for j, i in enumerate(filled):  # marks and headers
+        if kinds[i] and not judge(line_features(lines[filled[j - 1]] if j else "", lines[i], lines[filled[j + 1]] if j + 1 < len(filled) else "", False, forms)):
+            kinds[i] = ""
+    body = [i for i in filled if not kinds[i]]
     taken = False
     for j, i in enumerate(body):
         if not _LONE.match(lines[i]):
@@ -376,9 +477,9 @@ def furniture(lines: list[str], forms: Forms) -> list[str]:
             continue
         before = lines[body[j - 1]] if j else ""
         after = lines[body[j + 1]] if j + 1 < len(body) else ""
-        if person_like(before) and not taken or line_key(after) in forms.numbered:
+        if not judge(line_features(before, lines[i], after, taken, forms)):
             taken = True
-        elif re.fullmatch(r"\d+/\d+", before) or taken or not person_like(before):
+        else:
             kinds[i] = "pagenum"
             # the line before this one may still be the value of a name: keep looking from it
             if j:
@@ -387,7 +488,7 @@ def furniture(lines: list[str], forms: Forms) -> list[str]:
     return kinds
 
 
-def close_words(lines: list[str], forms: Forms, known) -> tuple[list[str], bool]:
+def close_words(lines: list[str], forms: Forms, known, judge: Judge) -> tuple[list[str], bool]:
     """Lines with broken words closed, and whether there were any."""
     out: list[str] = []
     found = False
@@ -396,8 +497,7 @@ def close_words(lines: list[str], forms: Forms, known) -> tuple[list[str], bool]
             head = re.sub(r"\s?[-¬‐]\s?$", "", out[-1])
             left = re.search(rf"[{_C}]+$", head, re.I)
             right = re.match(rf"[{_C}]+", line, re.I)
-            pair = f"{left[0]}-{right[0]}".lower() if left and right else ""
-            if pair not in forms.hyphened or out[-1].rstrip()[-1] == "¬":
+            if judge(break_features(left[0] if left else "", right[0] if right else "", out[-1].rstrip()[-1], True, forms, known)):
                 found = True
                 first, _, rest = line.partition(" ")
                 out[-1] = head + first
@@ -407,10 +507,10 @@ def close_words(lines: list[str], forms: Forms, known) -> tuple[list[str], bool]
         out.append(line)
     for i, line in enumerate(out):
         if "- " in line or "¬ " in line:
+
             def close(m: re.Match) -> str:
                 nonlocal found
-                whole = (m[1] + m[2]).lower()
-                if "¬" in m[0] or m[2][0].islower() and f"{m[1]}-{m[2]}".lower() not in forms.hyphened and (known(whole) or not known(m[2].lower())):
+                if judge(break_features(m[1], m[2], m[0][len(m[1])], False, forms, known)):
                     found = True
                     return m[1] + m[2]
                 return m[0]
@@ -448,7 +548,7 @@ def fit_joiner(texts: list[str], forms: Forms) -> Boosted:
     return Boosted(rounds=25).fit(np.array(rows).reshape(len(rows), 9), np.array(labels))
 
 
-def examine(text: str, forms: Forms, fixes: dict[str, str], known, joiner: Boosted | None = None) -> tuple[set[str], str | None]:
+def examine(text: str, forms: Forms, fixes: dict[str, str], known, judges: tuple[Judge, Judge], joiner: Boosted | None = None) -> tuple[set[str], str | None]:
     """(kinds of noise, repaired text; the latter only with a joiner)."""
     lines = [x.strip() for x in text.split("\n")]
     found: set[str] = set()
@@ -459,10 +559,10 @@ def examine(text: str, forms: Forms, fixes: dict[str, str], known, joiner: Boost
             if inside:
                 cuts.append(cut)
                 found |= inside
-    kinds = furniture(lines, forms)
+    kinds = furniture(lines, forms, judges[0])
     found |= {k for k in kinds if k}
     body = [x for x, k in zip(lines, kinds) if not k]
-    body, broken = close_words(body, forms, known)
+    body, broken = close_words(body, forms, known, judges[1])
     if broken:
         found.add("hyphen")
     # Characters misread in a header count too, so all lines are looked at.
@@ -540,10 +640,10 @@ def clean(texts: DataFrame, repaired: bool = False) -> DataFrame:
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(({r.word: r.meant for r in fixes_df.collect()}, {r.key for r in common.collect()}))  # both sizes are checked above
     keys = tuple(sorted(headers)), tuple(sorted(numbered)), tuple(sorted(hyphened))
-    joiner = None
-    if repaired:
-        sample = [r.text for r in texts.filter("text IS NOT NULL").orderBy(F.xxhash64("record_key")).limit(SAMPLE_TEXTS).select("text").collect()]
-        joiner = fit_joiner(sample, Forms(*map(list, keys)))
+    sample = [r.text for r in texts.filter("text IS NOT NULL").orderBy(F.xxhash64("record_key")).limit(SAMPLE_TEXTS).select("text").collect()]
+    forms_ = Forms(*map(list, keys))
+    judges = fit_judges(sample, forms_, sent.value[1].__contains__)
+    joiner = fit_joiner(sample, forms_) if repaired else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = _forms(*keys)
@@ -551,7 +651,7 @@ def clean(texts: DataFrame, repaired: bool = False) -> DataFrame:
         for b in batches:
             kinds, out = [], []
             for text in b.column(2).to_pylist():
-                found, fixed = examine(text, forms, fixes, common_words.__contains__, joiner) if text and text.strip() else (set(), text)
+                found, fixed = examine(text, forms, fixes, common_words.__contains__, judges, joiner) if text and text.strip() else (set(), text)
                 kinds.append(sorted(found))
                 out.append(fixed if repaired else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], schema=_FOUND)

@@ -6,9 +6,22 @@ import numpy as np
 import pytest
 
 from rowmill.llm.boosting import Boosted
-from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, cut_marks, difference, examine, furniture, hyphened_words, noisy_token, page_mark
+from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, cut_marks, difference, examine, fit_judges, furniture, hyphened_words, noisy_token, page_mark
 
-FORMS = Forms(["форма учёта жильцов", "единый бланк продолжение"], ["субсидия нет"], ["кто-нибудь"])
+FORMS = Forms(["форма учёта жильцов", "единый бланк продолжение"], ["субсидия нет"], ["кто-нибудь", *[f"{a}-{b}" for a in ("зорин", "север", "жилищно") for b in ("волков", "запад", "бытовой")]])
+KNOWN = {"квартиры", "дом", "собственник", "просит", "справку", "проживания", "управление", "показал"}.__contains__
+
+
+def sample():
+    """Pages that leave no doubt: marks and headers, values of names, numbers before labels, words broken and closed."""
+    out = []
+    for i in range(80):
+        out.append(f"Форма учёта жильцов\nЗорин Пётр Ильич\n{i % 90 + 10}\nОрганизация не указана.\nстр. {i % 9 + 1}\nтекст собственник квар-\nтиры просит справку\n{i % 7}\nСубсидия: нет\nтекст про дом - управление просит")
+        out.append(f"Организация не указана.\nЛист {i % 9 + 1}\nтекст собственник\nВолков Иван\n{i % 50 + 10}\nуправ- ление показал")
+    return out
+
+
+JUDGES = fit_judges(sample(), FORMS, KNOWN)
 
 
 @pytest.mark.parametrize(("token", "noisy"), [("свид€тельство", True), ("рай0на", True), ("форrnы", True), ("адp,есу", True), ("миr'рационного", True), ("па(порт", True), ("Наследііик", True), ("подал(а)", False), ("23к2с3", False), ("2-я", False), ("59/2", False), ("слово", False), ("№18", False)])
@@ -23,15 +36,23 @@ def test_page_marks(line, mark):
 
 def test_furniture_and_values():
     lines = ["Форма учёта жильцов   01.02.2030", "Зорин Пётр Ильич", "50", "Волков Иван", "ФОРМА УЧЁТА ЖИЛЬЦ0В", "33", "Организация не указана.", "7", "текст", "4", "Субсидия: нет"]
-    assert furniture(lines, FORMS) == ["header", "", "", "", "header", "", "", "pagenum", "", "", ""]
+    assert furniture(lines, FORMS, JUDGES[0]) == ["header", "", "", "", "header", "", "", "pagenum", "", "", ""]
 
 
 def test_words_are_closed_around_furniture():
-    known = {"квартиры", "дом"}.__contains__
-    assert close_words(["собственник квар-", "тиры просит"], FORMS, known) == (["собственник квартиры", "просит"], True)
-    assert close_words(["кто-", "нибудь пришёл"], FORMS, known) == (["кто-", "нибудь пришёл"], False)
-    assert close_words(["Зорин-", "Волков Иван"], FORMS, known) == (["Зорин-", "Волков Иван"], False)
-    assert close_words(["квар- тиры"], FORMS, known) == (["квартиры"], True)
+    assert close_words(["собственник квар-", "тиры просит"], FORMS, KNOWN, JUDGES[1]) == (["собственник квартиры", "просит"], True)
+    assert close_words(["кто-", "нибудь пришёл"], FORMS, KNOWN, JUDGES[1]) == (["кто-", "нибудь пришёл"], False)
+    assert close_words(["Зорин-", "Волков Иван"], FORMS, KNOWN, JUDGES[1]) == (["Зорин-", "Волков Иван"], False)
+    assert close_words(["квар- тиры"], FORMS, KNOWN, JUDGES[1]) == (["квартиры"], True)
+    assert close_words(["дом - управление", "квар¬ тиры"], FORMS, KNOWN, JUDGES[1]) == (["дом - управление", "квартиры"], True)
+
+
+def test_the_classifier_decides():
+    # Without the classifier's verdict nothing is furniture and nothing is closed.
+    never = lambda x: False
+    assert furniture(["Форма учёта жильцов", "стр. 5"], FORMS, never) == ["", ""] and close_words(["квар-", "тиры"], FORMS, KNOWN, never)[1] is False
+    empty = fit_judges([], Forms([], [], []), KNOWN)
+    assert furniture(["стр. 5"], Forms([], [], []), empty[0]) in (["pagenum"], [""])
 
 
 def test_difference():
@@ -107,8 +128,8 @@ def test_short_words_are_whole(spark):
     assert {r.key for r in count_corpus(texts).filter("kind = 'word'").collect()} == {"серия", "номер", "портист", "на", "дом", "па(портист", "пе8ать"}
     fixes = {"нв": "на", "вылан": "выдан", "пе": "не"}
     plain = Boosted().fit(np.zeros((0, 9)), np.zeros(0))
-    assert examine("Серия V-НВ вылан", FORMS, fixes, {}.__contains__, plain) == ({"chars"}, "Серия V-НВ выдан")
-    assert examine("Серия V-НВ", FORMS, fixes, {}.__contains__, plain) == (set(), "Серия V-НВ") and examine("пе дом", FORMS, fixes, {}.__contains__, plain)[1] == "не дом"
+    assert examine("Серия V-НВ вылан", FORMS, fixes, {}.__contains__, JUDGES, plain) == ({"chars"}, "Серия V-НВ выдан")
+    assert examine("Серия V-НВ", FORMS, fixes, {}.__contains__, JUDGES, plain) == (set(), "Серия V-НВ") and examine("пе дом", FORMS, fixes, {}.__contains__, JUDGES, plain)[1] == "не дом"
 
 
 def test_corrections_end_at_a_right_word(spark):
@@ -132,7 +153,7 @@ def test_corrections_end_at_a_right_word(spark):
 def test_marks_inside_lines(line, rest, kinds):
     got = cut_marks(line, FORMS)
     assert (got[0], got[2]) == (rest, kinds)
-    assert kinds <= examine(line, FORMS, {}, {}.__contains__)[0]
+    assert kinds <= examine(line, FORMS, {}, {}.__contains__, JUDGES)[0]
 
 
 def test_no_hyphenated_word_is_left_out(spark):
