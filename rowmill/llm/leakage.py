@@ -22,6 +22,7 @@ the hit documents are fetched by key.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,6 +160,17 @@ class Index:
         return found
 
 
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(key: str, rows: tuple) -> Index:
+    """The index of one call, built once in a worker process; that of an earlier call is dropped."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Index(*rows)
+    return _INDEXES[key]
+
+
 FOUND = "doc_id long, item_id long, n_words int, n_edits int, doc_from int, doc_to int, item_from int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *[(c, pa.int32()) for c in ("n_words", "n_edits", "doc_from", "doc_to", "item_from")]])
 
@@ -193,10 +205,11 @@ def leaks(docs: DataFrame, items: DataFrame, min_match: int = 10, max_edits: flo
 
 def _map_side(docs: DataFrame, items: DataFrame, min_match: int, max_edits: float) -> DataFrame:
     rows = items.collect()  # bounded: measured by the caller
+    key = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hasher = Index(*sent.value), Hasher()
+        index, hasher = _index(key, sent.value), Hasher()
         for b in batches:
             out: list[tuple] = []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

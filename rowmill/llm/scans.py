@@ -614,10 +614,10 @@ def running_headers(counts: DataFrame, n_texts: int) -> list[str]:
 
 def hyphened_words(counts: DataFrame) -> list[str]:
     """All words truly written with a hyphen; their number is checked as that of the vocabulary."""
-    found = counts.filter("kind = 'hyphened' AND n >= 3").select("key")
-    if found.count() > MAX_SENT:
+    found = counts.filter("kind = 'hyphened' AND n >= 3").select("key").limit(MAX_SENT + 1).toPandas()
+    if len(found) > MAX_SENT:
         raise ValueError("the hyphenated words are beyond what may be sent to the workers; split the texts by field")
-    return [r.key for r in found.collect()]
+    return found["key"].tolist()
 
 
 def clean(texts: DataFrame, repaired: bool = False) -> DataFrame:
@@ -635,10 +635,11 @@ def clean(texts: DataFrame, repaired: bool = False) -> DataFrame:
     fixes_df, _ = corrections(words)
     fixes_df = written(fixes_df, "fixes")
     common = words.filter(F.col("key").rlike(f"^[{_C}]+$") & (F.col("n") >= 5)).join(fixes_df.select(F.col("word").alias("key")), "key", "left_anti")
-    if fixes_df.count() > MAX_SENT or common.count() > MAX_SENT:
-        raise ValueError("the vocabulary is beyond what may be sent to the workers; split the texts by field")
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(({r.word: r.meant for r in fixes_df.collect()}, {r.key for r in common.collect()}))  # both sizes are checked above
+    fixed, usual = fixes_df.limit(MAX_SENT + 1).toPandas(), common.select("key").limit(MAX_SENT + 1).toPandas()  # one run each; both sizes are checked
+    if len(fixed) > MAX_SENT or len(usual) > MAX_SENT:
+        raise ValueError("the vocabulary is beyond what may be sent to the workers; split the texts by field")
+    sent = spark.sparkContext.broadcast((dict(zip(fixed["word"], fixed["meant"])), set(usual["key"])))
     keys = tuple(sorted(headers)), tuple(sorted(numbered)), tuple(sorted(hyphened))
     sample = [r.text for r in texts.filter("text IS NOT NULL").orderBy(F.xxhash64("record_key")).limit(SAMPLE_TEXTS).select("text").collect()]
     forms_ = Forms(*map(list, keys))
