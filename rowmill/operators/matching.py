@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from rowmill.functions.text import canon
 
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 64 * 2**20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is measured to have few rows, else as it is."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    """``df`` with a broadcast hint if the planner's estimate of its size (of its files, before filters) is
+    at most ``MAX_BROADCAST`` bytes, else as it is; no job is run to find out."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
 
 
 def longest_containment(texts: DataFrame, key: str, text: str, entries: DataFrame, name: str) -> DataFrame:

@@ -62,10 +62,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables this process wrote; frames that read them can't be used any more."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: later steps neither
-    recompute it nor depend on the executors that made it."""
+    recompute it nor depend on the executors that made it. :func:`forget` removes the tables
+    when their results have been used."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rowmill-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from rowmill.session import local_session, prepare
+from rowmill.session import forget, local_session, prepare
 
 
 @pytest.fixture(scope="session")
@@ -11,4 +11,5 @@ def spark():
     s.conf.set("spark.sql.adaptive.enabled", "true")
     s.sparkContext.setLogLevel("ERROR")
     yield prepare(s)
+    forget(s)
     s.stop()
