@@ -13,7 +13,7 @@ MAX_BROADCAST = 64 * 2**20
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if the planner's estimate of its size (of its files, before filters) is
     at most ``MAX_BROADCAST`` bytes, else as it is; no job is run to find out."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= MAX_BROADCAST else df
 
 
