@@ -73,12 +73,14 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: later steps neither
-    recompute it nor depend on the executors that made it. :func:`forget` removes the tables
+    recompute it nor depend on the executors that made it. by: a column of few values the table is
+    parted by, so that a filter on it reads only its part. :func:`forget` removes the tables
     when their results have been used."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rowmill-{label}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
