@@ -51,6 +51,7 @@ _PERSONAL_CUES = {"снилс", "инн"}
 _RUN = re.compile(r"[А-ЯЁA-Z](?:\.|[\w-]+)(?:\s{0,2}[А-ЯЁA-Z](?:\.|[\w-]+))*")
 _TOKEN = re.compile(r"[А-ЯЁA-Z](?:\.|[\w-]+)")
 _PATRONYMIC = re.compile(r".{2,}(?:ович|евич|ьич|[^аеиоу]ич|овна|евна|инична|ична|ovich|evich|[^aeiou]ich|ovna|evna|ichna)$", re.I)
+_DIGIT_NEAR = re.compile(r"\d")
 _WORDS = sorted(STREET_TYPES, key=len, reverse=True)
 _TYPE = "(?:" + "|".join(map(re.escape, _WORDS)) + ")"
 # Short forms of the words before a person's name in a street.
@@ -143,6 +144,10 @@ def scan(text: str, towns: dict[str, set[str]]) -> tuple[list[tuple], list[tuple
             e = s + len(text[s:e].rstrip())
             if any(a < e and s < b for a, b in taken):
                 continue
+        near = _DIGIT_NEAR.search(text, e, e + 32)
+        if not near and _TOKEN.match(text, s).end() == e:  # a lone word, and no house behind it: it only counts
+            runs.append((s, e, None, False))
+            continue
         tokens = list(_TOKEN.finditer(text, s, e))
         cut = next((t.start() for n, t in enumerate(tokens) if n and (t[0].rstrip(".").lower() in _PART and text[s:e].isupper() or _SERIES.match(t[0]))), e)
         e = s + len(text[s:cut].rstrip())
@@ -152,7 +157,8 @@ def scan(text: str, towns: dict[str, set[str]]) -> tuple[list[tuple], list[tuple
             s = tokens[-1].start()
         street = bool(title) or bool(s and text[s - 1] in "«\"“„") or bool(_TYPE_BEFORE.search(text[max(0, s - 14) : s]))
         street = street or _TOKEN.match(text, s)[0].lower() in STREET_TYPES or bool(_TYPE_AFTER.match(text, e))
-        if at := address_at(text, s, e, towns):
+        # Type, house word and sign take less than 32 signs: without a digit that near there is no house.
+        if _DIGIT_NEAR.search(text, e, e + 32) and (at := address_at(text, s, e, towns)):
             while runs and runs[-1][1] > at[0]:
                 runs.pop()
             found.append(("ADDRESS", *at))
@@ -378,7 +384,7 @@ def mentions(docs: DataFrame, towns: list[str], least_bits: float = LEAST_BITS,
     names among the runs after a word for that word to vouch for an unknown run, which must
     begin with a term that stands mostly after such words.
     """
-    scanned = written(scan_corpus(docs, towns), "pii")
+    scanned = written(scan_corpus(docs, towns), "pii", "kind")
     settled = disclosing(scanned, least_bits)
 
     cues = scanned.filter("kind = 'CUE'").groupBy(F.col("text").alias("cue")).agg(
