@@ -100,7 +100,8 @@ def count_corpus(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, hyphened, n, hits = Counter(), Counter(), Counter(), Counter()
+            found, hyphened = Counter(), Counter()
+            line_n, line_hits, before_n, label_hits = Counter(), Counter(), Counter(), Counter()
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
@@ -115,17 +116,16 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                     if not line or len(line) > 80 or not line[0].isupper() or line[-1] in ".,":
                         continue
                     key = line_key(line)
-                    n["line", key] += 1
+                    line_n[key] += 1
                     before = lines[i - 1] if i else ""
                     after = lines[i + 1] if i + 1 < len(lines) else ""
                     if after and after[0].islower():
-                        hits["line", key] += 1
+                        line_hits[key] += 1
                     if ":" not in line and 10 <= len(line) <= 70 and not page_mark(line):
-                        n["before", f"{key}\t{'^' if not before or page_mark(before) else before_key(before)}"] += 1
-                    n["label", key] += 1
+                        before_n[f"{key}\t{'^' if not before or page_mark(before) else before_key(before)}"] += 1
                     if _LONE.match(before):
-                        hits["label", key] += 1
-            out = [(k, w, c, hits.get((k, w), 0)) for (k, w), c in n.items()] + [(k, w, c, 0) for k, own in (("word", found), ("hyphened", hyphened)) for w, c in own.items()]
+                        label_hits[key] += 1
+            out = [("line", k, c, line_hits.get(k, 0)) for k, c in line_n.items()] + [("label", k, c, label_hits.get(k, 0)) for k, c in line_n.items()] + [("before", k, c, 0) for k, c in before_n.items()] + [(k, w, c, 0) for k, own in (("word", found), ("hyphened", hyphened)) for w, c in own.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, _COUNT)], schema=_COUNT)
 
     counted = texts.select("text").mapInArrow(run, "kind string, key string, n long, hits long")
@@ -343,10 +343,10 @@ def _page_word(word: str, of: bool) -> bool:
     return len(word) >= 4 and (osa(word, "лист", 1) <= (1 if of or re.search(rf"[^{_C}]", word) else 0) or osa(word, "страница", 2) <= 2)
 
 
-def cut_marks(line: str, forms: Forms) -> tuple[str, str, set[str]]:
+def cut_marks(line: str, forms: Forms, headed: bool = True) -> tuple[str, str, set[str]]:
     """The line without the headers and page marks that stand inside it, what was cut out,
-    and the kinds of it. 'стр. 2' in an address is a building."""
-    spans = [(a, z, "header") for a, z in forms.inside(line)]
+    and the kinds of it. 'стр. 2' in an address is a building. headed: the text has a word of a header."""
+    spans = [(a, z, "header") for a, z in forms.inside(line)] if headed else []
     if _ANY_DIGIT.search(line):
         for m in _IN_LINE.finditer(line):
             if m[1] and not _page_word(m[1].lower(), bool(m[3])):
@@ -462,9 +462,14 @@ def _pieces(line: str, after: str) -> Iterator[tuple[str, str, str, bool]]:
             yield left[0], line.rstrip()[-1], right[0], True
 
 
-def furniture(lines: list[str], forms: Forms, judge: Judge) -> list[str]:
-    """``header``, ``pagenum`` or "" for each line."""
-    kinds = ["header" if x and forms.header(x) else "pagenum" if x and page_mark(x) else "" for x in lines]
+def nominate(line: str, forms: Forms) -> str:
+    """``header`` or ``pagenum`` for a line that looks like one, else ""."""
+    return "" if not line else "header" if forms.header(line) else "pagenum" if page_mark(line) else ""
+
+
+def furniture(lines: list[str], forms: Forms, judge: Judge, nominated: list[str] | None = None) -> list[str]:
+    """``header``, ``pagenum`` or "" for each line. nominated: what :func:`nominate` says of them, if it is known."""
+    kinds = nominated or [nominate(x, forms) for x in lines]
     filled = [i for i, x in enumerate(lines) if x]
     for j, i in enumerate(filled):  # marks and headers
         if kinds[i] and not judge(line_features(lines[filled[j - 1]] if j else "", lines[i], lines[filled[j + 1]] if j + 1 < len(filled) else "", False, forms)):
@@ -553,13 +558,16 @@ def examine(text: str, forms: Forms, fixes: dict[str, str], known, judges: tuple
     lines = [x.strip() for x in text.split("\n")]
     found: set[str] = set()
     cuts: list[str] = []
+    nominated = [nominate(x, forms) for x in lines]
+    headed = not forms.places.keys().isdisjoint(_WORD.findall(text.lower()))
     for i, x in enumerate(lines):
-        if len(x) > 5 and not page_mark(x) and not forms.header(x):
-            lines[i], cut, inside = cut_marks(x, forms)
+        if len(x) > 5 and not nominated[i]:
+            lines[i], cut, inside = cut_marks(x, forms, headed)
             if inside:
                 cuts.append(cut)
                 found |= inside
-    kinds = furniture(lines, forms, judges[0])
+                nominated[i] = nominate(lines[i], forms)
+    kinds = furniture(lines, forms, judges[0], nominated)
     found |= {k for k in kinds if k}
     body = [x for x, k in zip(lines, kinds) if not k]
     body, broken = close_words(body, forms, known, judges[1])
@@ -567,7 +575,7 @@ def examine(text: str, forms: Forms, fixes: dict[str, str], known, judges: tuple
         found.add("hyphen")
     # Characters misread in a header count too, so all lines are looked at.
     whole = "\n".join(body) + "\n" + "\n".join([*(x for x, k in zip(lines, kinds) if k), *cuts])
-    if odd_tokens(whole) or not fixes.keys().isdisjoint(_WHOLE.findall(whole.lower())):
+    if not fixes.keys().isdisjoint(_WHOLE.findall(whole.lower())) or odd_tokens(whole):
         found.add("chars")
     if joiner is None:
         return found, None
