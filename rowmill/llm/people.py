@@ -229,7 +229,7 @@ def learn_body_words(cards: DataFrame, share: float = 0.01, numbers: float = 0.0
                 out += [(w, number) for w in {w for w in _BODY_TOKEN.findall(s) if len(w) >= 3 and w not in _MARKS}]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[], []])], names=["word", "number"])
 
-    spellings = cards.select("issued_by").filter("issued_by IS NOT NULL").distinct()
+    spellings = spread(cards.select("issued_by").filter("issued_by IS NOT NULL").distinct(), "issued_by")
     words = spellings.mapInArrow(run, "word string, number string").groupBy("word", "number").agg(F.count("*").alias("n"))
     total = spellings.agg(F.count("*").alias("all"))  # one row
     kinds = words.agg(F.countDistinct("number").alias("kinds"))  # one row
