@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rowmill.operators import pipeline as L
@@ -52,3 +53,15 @@ def test_ports_and_attempts(spark, tmp_path):
     save_attempts(spark.createDataFrame([("a.pdf", 1)], "filename string, page_count int"), str(tmp_path / "out"), "20320101_000000")
     assert spark.read.json(str(tmp_path / "out")).first().attempt == "20320101_000000_a"
     assert L.inspect(spark.createDataFrame([("a",)], "filename string")).first().page_count == 0
+
+
+def test_engine_hands_on_words_in_small_batches(monkeypatch):
+    monkeypatch.setattr(ports, "BATCH_WORDS", 100, raising=False)
+    texts = [f"слово{i}  два\n три" for i in range(1000)] + [None, "", "я " * 250]
+    pages = pa.RecordBatch.from_arrays([pa.array(range(1003), pa.int64()), pa.array([1] * 1003, pa.int32()), pa.array([t and t.encode() for t in texts], pa.binary())], names=["doc_id", "page_number", "image"])
+    got = list(ports.mock()(iter([pages])))
+    assert max(len(b) for b in got) <= 350  # a line isn't divided
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(rows) == 3250 and [(r["ord"], r["text"], r["polygon"]) for r in rows[:3]] == [
+        (0, "слово0", [[0, 0], [72, 0], [72, 24], [0, 24]]), (1, "два", [[96, 0], [132, 0], [132, 24], [96, 24]]), (2, "три", [[12, 40], [48, 40], [48, 64], [12, 64]])
+    ]
