@@ -321,6 +321,19 @@ def strong(document: Column) -> Column:
     return F.coalesce(D.has(document["number"]) & D.has(document["issue_date"]), F.lit(False))
 
 
+def persons_rows(rows: DataFrame, columns: dict[str, tuple[int, int]] = COLUMNS) -> DataFrame:
+    """Rows with ``bounds``, ``_birthday`` and ``_name``, those that lack a birthday or a name left out.
+
+    Most bands of a page are none of the table. The birthday is cheaper than the name and lacks more often, so it is asked for first.
+    """
+    w, edges = F.col("words"), row_bounds(F.col("words"), F.col("anchor_top"), columns)
+    dates = lambda b: F.filter(birth_words(w, b), lambda x: x["text"].rlike(DATE))
+    # Bounds are bound once a row: a column would be put in where a lambda uses it, and worked out for every word.
+    birthday = let(edges, lambda b: D.blank(F.regexp_extract(raw_text(dates(b)), f"({DATE})", 1)))
+    at = rows.withColumn("_birthday", birthday).filter("_birthday IS NOT NULL")
+    return at.withColumn("_name", let(edges, lambda b: full_name(name_words(w, b)))).filter("_name IS NOT NULL").withColumn("bounds", edges)
+
+
 def read_rows(rows: DataFrame, columns: dict[str, tuple[int, int]] = COLUMNS) -> DataFrame:
     """Rows (anchor_top, words and keys) with full_name, birthday_date, document, departure, departure_raw, row_box, document_box.
 
@@ -328,8 +341,8 @@ def read_rows(rows: DataFrame, columns: dict[str, tuple[int, int]] = COLUMNS) ->
     found from its own; the more complete reading stays. Rows without a name or birthday are left out.
     """
     keys = [c for c in rows.columns if c != "words"]
-    at = rows.withColumn("bounds", row_bounds(F.col("words"), F.col("anchor_top"), columns))
     w, b = F.col("words"), F.col("bounds")
+    at = persons_rows(rows, columns)
     at = at.withColumn("_d", document_words(w, b)).withColumn("_x", overlapping(w, b["departure_left"], columns["departure"][1]))
     at = at.withColumn("_c", document_cluster(w, b)).withColumn("_y", departure_cluster(w, b))
     # All texts a row's document may be read from go through one expression; so do those of its departure.
@@ -339,11 +352,10 @@ def read_rows(rows: DataFrame, columns: dict[str, tuple[int, int]] = COLUMNS) ->
     at = at.withColumn("_d1", of(0)).withColumn("_d2", F.when(~strong(F.col("_d1")), of(1)))
     at = at.withColumn("_p", F.transform(F.array(raw_text(F.col("_x")), raw_text(F.col("_y"))), P.read)).withColumn("_x1", F.col("_p")[0]).withColumn("_x2", F.when(F.col("_x1").isNull(), F.col("_p")[1]))
     second = F.coalesce(D.completeness(F.col("_d2")) > D.completeness(F.col("_d1")), F.lit(False))
-    birthday = F.regexp_extract(raw_text(F.filter(birth_words(w, b), lambda x: x["text"].rlike(DATE))), f"({DATE})", 1)
     return at.select(
-        *keys, full_name(name_words(w, b)).alias("full_name"), D.blank(birthday).alias("birthday_date"), F.when(second, F.col("_d2")).otherwise(F.col("_d1")).alias("document"), F.coalesce("_x1", "_x2").alias("departure"),
+        *keys, F.col("_name").alias("full_name"), F.col("_birthday").alias("birthday_date"), F.when(second, F.col("_d2")).otherwise(F.col("_d1")).alias("document"), F.coalesce("_x1", "_x2").alias("departure"),
         raw_text(F.when(F.col("_x1").isNull() & F.col("_x2").isNotNull(), F.col("_y")).otherwise(F.col("_x"))).alias("departure_raw"), box(w).alias("row_box"), box(F.when(second, F.col("_c")).otherwise(F.col("_d"))).alias("document_box"),
-    ).filter("full_name IS NOT NULL AND birthday_date IS NOT NULL")
+    )
 
 
 # Reading again -----------------------------------------------------------------------------

@@ -65,6 +65,14 @@ def test_rows_cut_and_crop(spark):
     assert (adaptive.birth_left, adaptive.document_left) == (485, 1170)
 
 
+def test_bounds_are_worked_out_once_a_row_in_the_filter(spark):
+    rows = W.row_words(spark.createDataFrame([(1, 100, 0, "слово", 20, 80, 24)], "id int, top int, ord int, text string, left int, width int, height int"), ["id"]).withColumn("anchor_top", F.lit(100))
+    lines = W.read_rows(rows)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    filters = [line for line in lines if line.lstrip(" :+-").startswith("Filter")]
+    n = filters[-1].count("паспорт|свидетель|выдан|мвд")  # what a row's bounds look for
+    assert 0 < n <= 4, n
+
+
 PEOPLE = f"key long, d int, full_name string, birthday_date string, document {D.DOCUMENT}, unregistered boolean"
 
 
