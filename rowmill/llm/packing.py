@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,26 +80,26 @@ def dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.nd
     return counts, float(best[capacity])
 
 
-#: Positions of the dynamic program a capacity may take in all rounds together.
+#: Positions of the dynamic program a capacity takes in rounds of small steps; the rounds after them take whole steps.
 WORK = 2**18
 #: Tasks the targets are spread over.
 SOLVERS = 64
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int = WORK, eta: float = 2.0, step: float = 1 / 16) -> tuple[list[tuple[np.ndarray, float]], float]:
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int = WORK, eta: float = 2.0, step: float = 1 / 16, whole_steps: bool = True) -> tuple[list[tuple[np.ndarray, float]], float]:
     """([(configuration, containers)], lower bound) by multiplicative weights.
 
     A size starts at its volume as weight and its weight falls by exp(-eta * share covered).
     Each round takes the dearest configuration and as many copies as cover ``step`` of none of
     its sizes more than once. Any weights are a dual solution once they are divided by the
     price of their dearest configuration, so each round gives a lower bound of the program;
-    the best one is returned. There are at most ``work`` / ``capacity`` rounds; what they
-    leave uncovered is left to the rounding.
+    the best one is returned. The rounds go on until every size is covered: ``work`` / ``capacity``
+    of them take steps of ``step``, those after them whole steps, each of which covers a size (none if not ``whole_steps``).
     """
     covered = np.zeros(len(sizes))
     taken: dict[bytes, list] = {}
     bound = float(counts[2 * sizes > capacity].sum())  # items over a half: a dual solution too, and no two share a container
-    for _ in range(max(1, work // capacity)):
+    for turn in itertools.count() if whole_steps else range(max(1, work // capacity)):
         open_ = np.flatnonzero(counts - covered > 1e-9)
         if not len(open_):
             break
@@ -108,7 +109,7 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int =
         config, price = dearest(s, prices, capacity)
         bound = max(bound, float((prices * n).sum()) / price)
         used = config > 0
-        copies = float((np.minimum(n - done, np.maximum(step * n, 1e-3))[used] / config[used]).min())
+        copies = float((np.minimum(n - done, np.maximum((step if turn < work // capacity else 1) * n, 1e-3))[used] / config[used]).min())
         covered[open_] = np.minimum(done + copies * config, n)
         whole = np.zeros(len(sizes), np.int64)
         whole[open_] = config
@@ -156,16 +157,23 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int = WORK)
     items of each of the ascending ``sizes``; no packing has fewer containers than the bound."""
     if not len(sizes):
         return [], 0.0
+    solution, bound = fractional(sizes, counts, capacity, work)
+    # Whole steps leave fractions that rounding may lose, so the small steps alone are rounded too.
+    fine, _ = fractional(sizes, counts, capacity, work, whole_steps=False)
+    return min((rounded(s, sizes, counts, capacity) for s in (solution, fine)), key=lambda out: sum(n for _, n in out)), bound
+
+
+def rounded(solution: list[tuple[np.ndarray, float]], sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """A fractional solution rounded down to whole containers; best fit places the rest."""
     left = counts.copy()
     out: list[tuple[np.ndarray, int]] = []
-    solution, bound = fractional(sizes, counts, capacity, work)
     for config, x in sorted(solution, key=lambda t: -t[1]):
         used = config > 0
         copies = int(min(np.floor(x + 1e-6), (left[used] // config[used]).min()))
         if copies > 0:
             out.append((config, copies))
             left -= config * copies
-    return out + best_fit(sizes, left, capacity), bound
+    return out + best_fit(sizes, left, capacity)
 
 
 def slots(plans: list[tuple[np.ndarray, int]], n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from rowmill.llm.packing import best_fit, dearest, encoder, fill, pack, plan, slots, TOKENIZER
+from rowmill.llm.packing import best_fit, dearest, encoder, fill, fractional, pack, plan, slots, TOKENIZER
 
 
 def test_dearest_is_exact():
@@ -45,6 +45,15 @@ def test_known_optimum():
     assert sum(m for _, m in got) == 100 and bound >= 99.99
 
 
+def test_program_covers_every_size():
+    rng = np.random.default_rng(5)
+    sizes, counts = np.unique(rng.integers(1, 400, 3000), return_counts=True)
+    for work in (1, 2**12):  # fewer positions than one round takes, and few rounds
+        solution, bound = fractional(sizes, counts, 400, work)
+        covered = sum(c * x for c, x in solution)
+        assert (covered >= counts - 1e-6).all() and sum(x for _, x in solution) >= bound - 1e-6
+
+
 def test_many_sizes_stay_exact():
     sizes = np.arange(1, 2001)
     got, bound = plan(sizes, np.full(2000, 3), 4000, work=2**16)
