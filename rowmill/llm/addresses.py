@@ -6,7 +6,9 @@ the level above. Linking goes the same way down: towns against the known towns,
 against the streets of their town (frequent spellings are the candidates of rare ones
 within one deletion), and at the bottom, inside one town, house, building, structure
 and flat, the remaining spellings of the street within two edits are compared. A street
-type that is missing or stands for two types stays a set of types until then. Records that
+type that is missing or stands for two types stays a set of types until then: the types its
+street has in the town, else those its ending agrees with. There it is what the one place
+of the flat that fits says; where several fit, the record stays ambiguous. Records that
 end above the flat inherit the places below their last level as candidates.
 """
 
@@ -36,6 +38,8 @@ STREET_TYPES = {
 }
 TITLES = ["агронома", "архитектора", "геолога", "доктора", "инженера", "летчика", "мастера", "машиниста", "строителя", "художника"]
 HOME = "вербоград"
+# Types by the ending of a name that agrees with them; a name without such an ending may have any type.
+AGREE = {"(ая|яя)$": ["ал", "наб", "пл", "ул"], "(ое|ее)$": ["ш"], "(ый|ий|ой)$": ["б-р", "пер", "пр-д", "пр-т", "туп"]}
 
 _BLANK = r"(?:_+|-|—)"
 _POST = re.compile(r"(?<!\d)\d{6}(?!\d)")
@@ -226,69 +230,97 @@ def streets(levels: DataFrame, ratio: int = 4) -> DataFrame:
     return known.select("town", "street", "n", F.coalesce("canon", "street").alias("canon"), F.coalesce("n_canon", "n").alias("n_canon"))
 
 
-def _kind_of_name() -> "F.Column":
-    """The type a bare street name suggests by its ending: none for surnames."""
-    last = F.element_at(F.split("canon", " "), -1)
-    return F.when(last.rlike("(ая|яя)$"), "ул").when(last.rlike("(ое|ее)$"), "ш")
+def _typed(levels: DataFrame, home: str) -> DataFrame:
+    """``levels`` with the town filled, the spelling its street is taken for (canon, n_canon) and
+    the types the street may have, in order and joined by commas: the one written, else those the
+    street has in its town, else those its ending agrees with."""
+    at = levels.withColumn("town", F.coalesce("town", F.lit(home)))
+    at = at.join(streets(at).select("town", "street", "canon", "n_canon"), ["town", "street"], "left")
+    per = at.filter(F.col("kind") != "пр").groupBy("town", "canon").agg(F.collect_set("kind").alias("kinds"))  # at most one entry per street type
+    last, many = F.element_at(F.split("canon", " "), -1), lambda kinds: F.array(*map(F.lit, kinds))
+    agree = F.coalesce(*[F.when(last.rlike(end), many(kinds)) for end, kinds in AGREE.items()], many(sorted(set(STREET_TYPES.values()) - {"пр"})))
+    both = many(["пр-д", "пр-т"])
+    fit = F.when(F.col("kind") == "пр", F.array_intersect("kinds", both)).otherwise(F.col("kinds"))
+    open_ = F.when(F.size(fit) > 0, fit).when(F.col("kind") == "пр", both).otherwise(agree)
+    types = F.when(F.col("kind") != "пр", F.array("kind")).otherwise(F.array_sort(open_))
+    return at.join(per, ["town", "canon"], "left").withColumn("types", F.concat_ws(",", types)).drop("kinds")
+
+
+def _fit(one: str, two: str) -> "F.Column":
+    """Two sets of types have one in common."""
+    return F.arrays_overlap(F.split(one, ","), F.split(two, ","))
+
+
+def _near(c1: str, n1: str, c2: str, n2: str) -> "F.Column":
+    """Two spellings of a street may mean one: equal, or within two edits with equal numbers and not both established."""
+    number = lambda c: F.regexp_extract(c, r"^\d+", 0)
+    apart = (F.least(n1, n2) >= 4) & (F.least(n1, n2) * 4 > F.greatest(n1, n2))
+    return F.when(F.col(c1) == F.col(c2), F.lit(True)).otherwise((F.levenshtein(c1, c2, 2) >= 0) & (number(c1) == number(c2)) & ~apart)
+
+
+BLOCK = ["town", "house", "building", "structure", "flat"]
 
 
 def link_addresses(levels: DataFrame, key: str, home: str = HOME) -> DataFrame:
-    """``key`` and ``place_id`` of every record that reaches down to a flat: records of
-    one place have the same place_id. Records that lack street, house or flat have no
-    place (they stay ambiguous) and are left out.
+    """``key`` and ``place_id`` of every record that reaches down to one flat: records of
+    one place have the same place_id. Records that lack street, house or flat, and those whose
+    street type is open and fits several places of the flat, have no place (they stay
+    ambiguous) and are left out.
 
     levels: ``key`` and LEVELS, one row per record. Ties go to the more frequent, then the
     first spelling in order.
     """
-    at = written(levels.withColumn("town", F.coalesce("town", F.lit(home))).filter(COMPLETE), "levels")  # read once, used by each level
-    known = streets(at)
-    at = at.join(known.select("town", "street", "canon", "n_canon"), ["town", "street"])
-    kinds = at.filter(F.col("kind").isNotNull() & (F.col("kind") != "пр")).groupBy("town", "canon", "kind").agg(F.count("*").alias("n"))
-    per = kinds.groupBy("town", "canon").agg(F.collect_list(F.struct(F.col("n"), F.col("kind"))).alias("kinds"))  # at most one entry per street type
-    at = at.join(per, ["town", "canon"], "left")
-    fit = F.filter(F.coalesce("kinds", F.array().cast("array<struct<n:bigint,kind:string>>")), lambda k: F.col("kind").isNull() | k["kind"].isin("пр-д", "пр-т"))
-    only = F.when(F.exists(fit, lambda k: k["kind"] == F.lit("ул")), F.lit("ул")).otherwise(F.array_max(fit)["kind"])
-    at = at.withColumn("kind", F.when(F.col("kind").isNotNull() & (F.col("kind") != "пр"), F.col("kind")).otherwise(F.coalesce(only, F.when(F.col("kind").isNull(), F.coalesce(_kind_of_name(), F.lit("?"))).otherwise("пр"))))
-    block = ["town", "house", "building", "structure", "flat"]
-    at = at.select(key, "canon", "kind", "n_canon", "town", "house", "flat", F.coalesce("building", F.lit("")).alias("building"), F.coalesce("structure", F.lit("")).alias("structure"))
-    at = written(at, "streets")
-    node = lambda kind, street: F.concat_ws("|", "town", kind, street, "house", "building", "structure", "flat")
-    seen = at.groupBy(*block, "canon", "kind").agg(F.count("*").alias("n"), F.max("n_canon").alias("n_canon"))
-    several = seen.groupBy(*block).agg(F.count("*").alias("_k")).filter("_k > 1").drop("_k")  # a flat with one spelling has nothing to compare
-    seen = seen.join(several, block, "left_semi").withColumn("key", F.explode(two_less("canon")))  # spellings of one flat meet within two edits, not all with all
-    other = seen.select(*block, "key", F.col("canon").alias("c2"), F.col("kind").alias("k2"), F.col("n_canon").alias("n2"))
-    one, two = F.col("kind"), F.col("k2")
-    same_kind = (one == two) | (one == "?") | (two == "?") | ((one == "пр") & two.isin("пр-д", "пр-т")) | ((two == "пр") & one.isin("пр-д", "пр-т"))
-    number = lambda c: F.regexp_extract(c, r"^\d+", 0)
-    apart = F.least("n_canon", "n2") * 4 > F.greatest("n_canon", "n2")  # both spellings are established
-    near = F.when(F.col("canon") == F.col("c2"), F.lit(True)).otherwise(
-        (F.levenshtein("canon", "c2", 2) >= 0) & (number("canon") == number("c2")) & ~((F.least("n_canon", "n2") >= 4) & apart)
-    )
-    rank = lambda k, n, c: F.struct((~k.isin("?", "пр")).cast("int").alias("known"), F.col(n).alias("n"), F.col(c).alias("c"), k.alias("k"))
-    best = F.max_by(F.struct("c2", "k2"), rank(two, "n2", "c2"))
-    rep = seen.join(other, [*block, "key"]).filter(same_kind & near & (rank(two, "n2", "c2") > rank(one, "n_canon", "canon"))).groupBy(*block, "canon", "kind").agg(best.alias("_b"))
-    parents = written(rep.select(node("kind", "canon").alias("node"), node("_b.k2", "_b.c2").alias("parent")), "parents")
+    at = written(levels.filter(COMPLETE), "levels")  # read once, used by each level
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    at = written(_typed(at, home).select(key, "canon", "types", "n_canon", "town", "house", none("building"), none("structure"), "flat"), "streets")
+    node = lambda types, street: F.concat_ws("|", "town", types, street, "house", "building", "structure", "flat")
+    seen = at.groupBy(*BLOCK, "canon", "types").agg(F.max("n_canon").alias("n_canon"))
+    several = seen.groupBy(*BLOCK).agg(F.count("*").alias("_k")).filter("_k > 1").drop("_k")  # a flat with one spelling has nothing to compare
+    seen = seen.join(several, BLOCK, "left_semi").withColumn("key", F.explode(two_less("canon")))  # spellings of one flat meet within two edits, not all with all
+    other = seen.select(*BLOCK, "key", F.col("canon").alias("c2"), F.col("types").alias("t2"), F.col("n_canon").alias("n2"))
+    met = seen.join(other, [*BLOCK, "key"]).filter(_fit("types", "t2") & _near("canon", "n_canon", "c2", "n2"))
+    met = met.select(node("types", "canon").alias("node"), node("t2", "c2").alias("node2"), "canon", "types", "n_canon", "c2", "t2", "n2").distinct()
+    met = written(met.filter("node <> node2"), "met")
+    rep = met.filter((F.col("types") == F.col("t2")) & (F.struct("n2", "c2") > F.struct("n_canon", "canon")))
+    parents = written(rep.groupBy("node").agg(F.max_by("node2", F.struct("n2", "c2")).alias("parent")), "parents")
     nodes = parents.select("node").union(parents.select("parent")).distinct()
-    at = at.select(key, node("kind", "canon").alias("node")).join(roots(nodes, parents), "node", "left")  # chains of spellings end in one place
-    return at.select(key, F.coalesce("root", "node").alias("place_id"))
+    same = roots(nodes, parents)  # chains of spellings end in one place
+    # An open type is that of the nearest place with fewer types that fits, if this is one place.
+    size = lambda types: F.size(F.split(types, ","))
+    fewer = met.filter(size("t2") < size("types")).select("node", "node2", F.struct(F.levenshtein("canon", "c2").alias("far"), (size("t2") > 1).alias("open")).alias("rank"))
+    fewer = fewer.join(same, "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
+    fewer = fewer.join(same.select(F.col("node").alias("node2"), "root"), "node2", "left").select("node", "rank", F.coalesce("root", "node2").alias("place"))
+    fitting = fewer.groupBy("node").agg(F.collect_set(F.struct("rank", "place")).alias("all"), F.min("rank").alias("rank"))  # as many as one flat has spellings near
+    best = F.array_distinct(F.transform(F.filter("all", lambda x: x["rank"] == F.col("rank")), lambda x: x["place"]))
+    parents = written(fitting.select("node", F.when(F.size(best) == 1, best[0]).otherwise(_NOWHERE).alias("parent")), "types")
+    nodes = parents.select("node").union(parents.select("parent")).distinct()
+    typed = roots(nodes, parents).select(F.col("node").alias("root"), F.col("root").alias("place"))
+    at = at.select(key, node("types", "canon").alias("node")).join(same, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return at.join(typed, "root", "left").select(key, F.coalesce("place", "root").alias("place_id")).filter(F.col("place_id") != _NOWHERE)
+
+
+#: Where the pointers of ambiguous records end.
+_NOWHERE = ""
 
 
 def inherit(levels: DataFrame, places: DataFrame, key: str, home: str = HOME) -> DataFrame:
     """``key``, place_id, n_candidates of every record with any level.
 
-    places: ``key``, place_id of the records that reach down to a flat. Records that lack
+    places: ``key``, place_id of the records that reach down to one flat. Records that lack
     street, house or flat inherit all places that agree on the levels they have (streets as
-    the more frequent spellings they are taken for); one candidate is their place, several stay ambiguous (place_id null).
+    the more frequent spellings they are taken for, types as the sets they stand for); one candidate is their place, several stay
+    ambiguous (place_id null). So do records that have all three and fit several places of their flat.
     """
-    town = F.coalesce("town", F.lit(home))
     none = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    all_ = levels.withColumn("town", town)
-    known = streets(all_).select("town", "street", "canon")
-    all_ = all_.join(known, ["town", "street"], "left").select(key, "town", F.col("canon").alias("street"), "house", none("building"), none("structure"), "flat")
+    all_ = _typed(levels, home).select(key, "town", F.col("canon").alias("street"), "n_canon", "types", "house", none("building"), none("structure"), "flat")
     full = F.col("street").isNotNull() & F.col("house").isNotNull() & F.col("flat").isNotNull()
     at = written(all_, "inherit")
-    whole = at.filter(full).join(places, key).groupBy("town", "street", "house", "building", "structure", "flat").agg(F.min("place_id").alias("place_id"))
+    whole = at.filter(full).join(places, key).groupBy(*BLOCK, "street", "place_id").agg(F.max("n_canon").alias("n2"))
+    whole = written(whole.withColumn("t2", F.element_at(F.split("place_id", r"\|"), 2)), "whole")
     out = places.select(key, "place_id", F.lit(1).cast("long").alias("n_candidates"))
+    torn = at.filter(full).join(places, key, "left_anti").join(whole.withColumnRenamed("street", "c2"), BLOCK)
+    torn = torn.filter(_fit("types", "t2") & _near("street", "n_canon", "c2", "n2")).groupBy(key, F.levenshtein("street", "c2").alias("far")).agg(F.countDistinct("place_id").alias("n"))
+    out = out.unionByName(torn.groupBy(key).agg(F.min_by("n", "far").alias("n_candidates")).withColumn("place_id", F.lit(None).cast("string")))
     for have in (("street", "house"), ("street", "flat"), ("house", "flat"), ("street",), ("house",), ("flat",)):
         lacking = [c for c in ("street", "house", "flat") if c not in have]
         some = at
@@ -297,8 +329,9 @@ def inherit(levels: DataFrame, places: DataFrame, key: str, home: str = HOME) ->
         for c in lacking:
             some = some.filter(F.col(c).isNull())
         on = ["town", *have, *(("building", "structure") if "house" in have else ())]
-        per = whole.groupBy(*on).agg(F.countDistinct("place_id").alias("n_candidates"), F.min("place_id").alias("place_id"))
-        met = some.join(per, on, "left").select(key, F.when(F.col("n_candidates") == 1, F.col("place_id")).alias("place_id"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+        per = some.select(*on, "types").distinct().join(whole.select(*on, "t2", "place_id").distinct(), on).filter(_fit("types", "t2"))
+        per = per.groupBy(*on, "types").agg(F.countDistinct("place_id").alias("n_candidates"), F.min("place_id").alias("place_id"))
+        met = some.join(per, [*on, "types"], "left").select(key, F.when(F.col("n_candidates") == 1, F.col("place_id")).alias("place_id"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
         out = out.unionByName(met)
     return out
 

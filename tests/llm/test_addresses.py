@@ -82,3 +82,15 @@ def test_established_streets_stay_apart(spark):
     levels = read_addresses(spark.createDataFrame(rows, COLUMNS), "address_record_id", "full_address", {}, TOWNS)
     ids = {r.address_record_id: r.place_id for r in link_addresses(levels, "address_record_id").collect()}
     assert len({ids[i] for i in range(6)}) == 1 and ids[12] == ids[0] != ids[6]
+
+
+def test_open_street_types_stay_sets(spark):
+    texts = ["ул. Дубомина, д. 1, кв. 1", "пер. Дубомина, д. 2, кв. 1", "Дубомина, д. 2, кв. 1", "ул. Дубомина, д. 3, кв. 1", "пер. Дубомина, д. 3, кв. 1", "Дубомина, д. 3, кв. 1"]
+    texts += ["Дубомина, д. 4, кв. 1", "Дубомина, д. 4, кв. 1", "Дубомина, д. 3", "пер. Дубомина, д. 3", "пр. Лазурный, д. 1, кв. 1", "пр-д Лазурный, д. 2, кв. 1", "пр-т Лазурный, д. 1, кв. 1"]
+    rows = [(i, None, None, None, None, None, a, "x") for i, a in enumerate(texts)]
+    levels = read_addresses(spark.createDataFrame(rows, COLUMNS), "address_record_id", "full_address", {}, TOWNS)
+    places = link_addresses(levels, "address_record_id")
+    got = {tuple(r) for r in same_place_pairs(places, "address_record_id").collect()}
+    assert got == {(1, 2), (6, 7), (10, 12)}  # 5 may be 3 or 4
+    ids = {r.address_record_id: (r.place_id, r.n_candidates) for r in inherit(levels, places, "address_record_id").collect()}
+    assert len(ids) == len(texts) and ids[5] == (None, 2) == ids[8] and ids[9] == (ids[4][0], 1)
