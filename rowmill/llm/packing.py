@@ -56,27 +56,36 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """(counts, price) of the dearest configuration of ascending ``sizes``: unbounded knapsack, exact dynamic program."""
+def dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int, part: int = 32) -> tuple[np.ndarray, float]:
+    """(counts, price) of the dearest configuration of ascending ``sizes``: unbounded knapsack, exact dynamic program.
+
+    Sizes enter the program by falling price a token, ``part`` at a time. One item of a size loses
+    what the dearest token would have paid in its place; a size that alone loses more than the best
+    configuration so far is in no dearer one and stays out.
+    """
+    rate = prices / sizes
+    order = np.lexsort((sizes, -rate))
+    most = rate[order[0]] * capacity
+    loss = (rate[order[0]] - rate) * sizes
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]), capacity + 1):
-        value = best[c - sizes[: fit[c]]]
-        value += prices[: fit[c]]
-        i = value.argmax()
-        if value[i] > best[c - 1]:
-            best[c], choice[c] = value[i], i
-        else:
-            best[c] = best[c - 1]
+    while len(order):
+        for i in order[:part]:
+            size, price = int(sizes[i]), prices[i]
+            while size <= capacity:  # 1, 2, 4 ... items more: any number that fits
+                np.maximum(best[size:], best[:-size] + price, out=best[size:])
+                size, price = 2 * size, 2 * price
+        order = order[part:]
+        order = order[loss[order] < most - best[capacity]]
     counts = np.zeros(len(sizes), np.int64)
     c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            counts[choice[c]] += 1
-            c -= int(sizes[choice[c]])
+    while c >= sizes[0]:
+        value = best[c - sizes[: np.searchsorted(sizes, c, side="right")]]
+        value += prices[: len(value)]
+        i = value.argmax()
+        if value[i] < best[c] * (1 - 1e-9) or value[i] <= 0:
+            break
+        counts[i] += 1
+        c -= int(sizes[i])
     return counts, float(best[capacity])
 
 
@@ -86,7 +95,7 @@ WORK = 2**18
 SOLVERS = 64
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int = WORK, eta: float = 2.0, step: float = 1 / 16, whole_steps: bool = True) -> tuple[list[tuple[np.ndarray, float]], float]:
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int = WORK, eta: float = 2.0, step: float = 1 / 16, fine: list | None = None) -> tuple[list[tuple[np.ndarray, float]], float]:
     """([(configuration, containers)], lower bound) by multiplicative weights.
 
     A size starts at its volume as weight and its weight falls by exp(-eta * share covered).
@@ -94,13 +103,15 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int =
     its sizes more than once. Any weights are a dual solution once they are divided by the
     price of their dearest configuration, so each round gives a lower bound of the program;
     the best one is returned. The rounds go on until every size is covered: ``work`` / ``capacity``
-    of them take steps of ``step``, those after them whole steps, each of which covers a size (none if not ``whole_steps``).
+    of them take steps of ``step``, those after them whole steps, each of which covers a size. fine: gets what the small steps alone take.
     """
     covered = np.zeros(len(sizes))
     taken: dict[bytes, list] = {}
     bound = float(counts[2 * sizes > capacity].sum())  # items over a half: a dual solution too, and no two share a container
-    for turn in itertools.count() if whole_steps else range(max(1, work // capacity)):
+    for turn in itertools.count():
         open_ = np.flatnonzero(counts - covered > 1e-9)
+        if fine is not None and turn == max(1, work // capacity) and len(open_):
+            fine += [(c, x) for c, x in taken.values()]
         if not len(open_):
             break
         s, n, done = sizes[open_], counts[open_], covered[open_]
@@ -157,10 +168,10 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, work: int = WORK)
     items of each of the ascending ``sizes``; no packing has fewer containers than the bound."""
     if not len(sizes):
         return [], 0.0
-    solution, bound = fractional(sizes, counts, capacity, work)
     # Whole steps leave fractions that rounding may lose, so the small steps alone are rounded too.
-    fine, _ = fractional(sizes, counts, capacity, work, whole_steps=False)
-    return min((rounded(s, sizes, counts, capacity) for s in (solution, fine)), key=lambda out: sum(n for _, n in out)), bound
+    fine: list[tuple[np.ndarray, float]] = []
+    solution, bound = fractional(sizes, counts, capacity, work, fine=fine)
+    return min((rounded(s, sizes, counts, capacity) for s in (solution, fine or solution)), key=lambda out: sum(n for _, n in out)), bound
 
 
 def rounded(solution: list[tuple[np.ndarray, float]], sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,6 +61,26 @@ def test_many_sizes_stay_exact():
     assert (sum((c * m for c, m in got), np.zeros(2000, int)) == 3).all() and sum(m for _, m in got) <= 1.005 * bound + 1
 
 
+def test_dearest_leaves_out_sizes_that_cannot_pay():
+    # As dear as a program over every position and size, in a fraction of its time.
+    rng = np.random.default_rng(7)
+    sizes = np.unique(np.concatenate([rng.integers(1, 4098, 1800), [4096, 4098]]))
+    plain, took = [], []
+    for spread in (0.0, 1e-3, 0.3, 2.0):
+        prices = sizes * np.exp(-spread * rng.random(len(sizes)))
+        start = time.process_time()
+        best = np.zeros(4099)
+        for c in range(int(sizes[0]), 4099):
+            k = np.searchsorted(sizes, c, side="right")
+            best[c] = max(best[c - 1], (best[c - sizes[:k]] + prices[:k]).max())
+        plain.append(time.process_time() - start)
+        start = time.process_time()
+        counts, price = dearest(sizes, prices, 4098)
+        took.append(time.process_time() - start)
+        assert abs(price - best[-1]) < 1e-6 and counts @ sizes <= 4098 and abs(counts @ prices - price) < 1e-6
+    assert sum(took) < sum(plain) / 2, (took, plain)
+
+
 def test_best_fit_is_by_runs():
     got = best_fit(np.array([3, 4]), np.array([10**12, 10**12]), 10)
     assert sum(c * n for c, n in got).tolist() == [10**12, 10**12] and all(np.dot(c, [3, 4]) <= 10 for c, _ in got) and len(got) < 8
