@@ -39,16 +39,31 @@ from rowmill.llm.chars import osa
 from rowmill.session import written
 
 SAMPLE, SAMPLE_TEXTS, MAX_SENT = 20_000, 2_000, 3_000_000
+#: Keys that a task counts before it hands them on.
+KEYS = 100_000
 _C = "а-яё"
 _WORD = re.compile(rf"[{_C}]{{2,}}")
+_LONG = re.compile(rf"[{_C}][{_C}]{{3,}}+")
 # Two or three letters are a word only if nothing adjoins them: 'V-НВ' is a series, 'на(' a piece of a word.
-_WHOLE = re.compile(rf"[{_C}]{{4,}}|(?<![,\w@€<('/¬-])[{_C}]{{2,3}}(?![\w@€<('/¬-])")
+_ADJOINS = r"\w@€<('/¬-"
+_WHOLE = re.compile(rf"[{_C}][{_C}]++(?:(?<=[{_C}]{{4}})|(?![{_ADJOINS}])(?:(?<=[{_C}]{{3}})(?<![,{_ADJOINS}][{_C}]{{3}})|(?<![{_C}]{{3}})(?<![,{_ADJOINS}][{_C}]{{2}})))")
 _HYPHENED = re.compile(rf"(?<![{_C}-])[{_C}]{{2,}}-[{_C}]{{2,}}(?![{_C}-])")
 _TOKEN = re.compile(r"[^\s\"«»;:!?№\[\]]+")
+_BLANK = re.compile(r"[\s\"«»;:!?№\[\]]")  # what ends a token
+_BROKEN = re.compile(rf"(?<=[{_C}])\s?[-¬]\s?\n\s*(?=[{_C}])")
+_LINE_END = re.compile(r"[-¬]\s?\n")
 _FOREIGN = re.compile(rf"[іѵ€@<]|[{_C}][a-z']|[a-z'][{_C}]|[{_C}]\([{_C}]+[^)]*$|[{_C}]/[01][{_C}]")
 _DIGIT = re.compile(rf"[{_C}]\d{{1,2}}[{_C}]")
-_SUSPECT = re.compile(rf"[іѵІѴ€@<]|[{_C}][A-Za-z'(/\d]|[A-Za-z'][{_C}]", re.I)
+# The same letters in both cases, spelled out as patterns that ignore case are slow.
+_CYR, _LAT = "а-яёА-ЯЁ\u1c80-\u1c86", "a-zA-Z\u0130\u0131\u017f\u212a"
+_SUSPECT = re.compile(rf"[іѵІѴ€@<{_LAT}'(/\d](?:(?<=[іѵІѴ€@<])|(?<=[{_CYR}].)|(?=[{_CYR}])(?<=[{_LAT}']))")
 _END = re.compile(rf"[{_C}]\s?[-¬‐]\s?$", re.I)
+_FILLED, _SIGNS, _NO_WORD = re.compile(r"\S+"), re.compile(r"[^\w@€(<']+"), re.compile(r"[^\w@€(<]")
+_NUMBERS = re.compile(r"\s*\d[\d. ]{5,}$")
+_HYPHEN, _LAST, _FIRST = re.compile(r"\s?[-¬‐]\s?$"), re.compile(rf"[{_CYR}]+$"), re.compile(rf"[{_CYR}]+")
+_LETTERS = re.compile(rf"[{_C}a-z]+")
+_LETTER = re.compile(f"[{_CYR}]")
+_AFTER = re.compile(rf"[-¬] [{_CYR}]{{2}}")
 _INSIDE = re.compile(rf"(?<![{_C}-])([{_C}]{{2,}})[-¬] ([{_C}]{{2,}})", re.I)
 _EXPLICIT = re.compile(r"^\W*([a-zа-яёі€@(0-9/<',. ]{0,12}?)[.,]?\s*(\d{1,3})\s*(из|/|и3)?\s*(\d{1,3})?\W*$", re.I)
 _FRAMED = re.compile(r"^[\[(—–-]\s*\d{1,3}\s*[\])—–-]$")
@@ -58,14 +73,14 @@ _DATE = re.compile(r"\d[\d. :/]*")
 # Words that name a page.
 PAGE_WORDS = ("стр", "страница", "лист", "с")
 _OTHER_CASES = {"листа", "листе", "листу", "листы", "листов", "страницы", "странице", "страницу", "страниц"}
-_IN_LINE = re.compile(r"(?<!\S)(?:[-—–] \d{1,2} [-—–]|\[\d{1,3}\]|[сc]\. ?\d{1,2}/\d{1,2}|([а-яёa-z€@(0-9/<']{3,9})[.,]? ?(?<!\d)(\d{1,3})(\s(?:из|и3|/) ?\d{1,3})?)(?!\S)", re.I)
+_IN_LINE = re.compile(r"(?<!\S)(?:[-—–] \d{1,2} [-—–]|\[\d{1,3}\]|[сСcC\u1c83]\. ?\d{1,2}/\d{1,2}|([%s%s€@(0-9/<']{3,9})[.,]? ?(?<!\d)(\d{1,3})(\s(?:[иИ][зЗ]|[иИ]3|/) ?\d{1,3})?)(?!\S)" % (_CYR, _LAT))
 _HOUSE = re.compile(r"(?:\b(?:д|дом|к|кор|корп|корпус)[.,]? ?№? ?[\d/]+ ?[а-я]?|корпус -|к\. -)[,.]?\s*$", re.I)
 _FLAT = re.compile(r"\s*(?:[,;]|кв\b|квартира|оф\b)", re.I)
 
 
 def joined(text: str) -> str:
     """The text with words that are broken across a line end closed (for counting)."""
-    return re.sub(rf"(?<=[{_C}])\s?[-¬]\s?\n\s*(?=[{_C}])", "", text)
+    return _BROKEN.sub("", text) if _LINE_END.search(text) else text
 
 
 def noisy_token(token: str) -> bool:
@@ -78,7 +93,7 @@ def noisy_token(token: str) -> bool:
 
 @lru_cache(maxsize=200_000)
 def line_key(line: str) -> str:
-    return " ".join(re.findall(rf"[{_C}a-z]+", _DATE.sub(" ", line.lower())))
+    return " ".join(_LETTERS.findall(_DATE.sub(" ", line.lower())))
 
 
 def before_key(line: str) -> str:
@@ -88,7 +103,18 @@ def before_key(line: str) -> str:
 
 
 def odd_tokens(text: str) -> list[str]:
-    return [t for t in _TOKEN.findall(text) if _SUSPECT.search(t) and noisy_token(t) and re.search(f"[{_C}]", t, re.I)] if _SUSPECT.search(text) else []
+    out, end = [], 0
+    for m in _SUSPECT.finditer(text):  # what is suspect lies within one token
+        at = m.start()
+        if at < end:
+            continue
+        while at and not _BLANK.match(text, at - 1):
+            at -= 1
+        t = _TOKEN.match(text, at)[0]
+        end = at + len(t)
+        if noisy_token(t) and _LETTER.search(t):
+            out.append(t)
+    return out
 
 
 _COUNT = pa.schema([("kind", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("hits", pa.int64())])
@@ -99,9 +125,15 @@ def count_corpus(texts: DataFrame) -> DataFrame:
     line goes on in small letters), ``before`` (a line and, after a tab, the one before it), ``label`` (hits: with a number alone on the line before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, hyphened, line_n, line_hits, before_n, label_hits = counters = [Counter() for _ in range(6)]
+
+        def counted() -> pa.RecordBatch:
+            out = [("line", k, c, line_hits.get(k, 0)) for k, c in line_n.items()] + [("label", k, c, label_hits.get(k, 0)) for k, c in line_n.items()] + [("before", k, c, 0) for k, c in before_n.items()] + [(k, w, c, 0) for k, own in (("word", found), ("hyphened", hyphened)) for w, c in own.items()]
+            for c in counters:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, _COUNT)], schema=_COUNT)
+
         for b in batches:
-            found, hyphened = Counter(), Counter()
-            line_n, line_hits, before_n, label_hits = Counter(), Counter(), Counter(), Counter()
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
@@ -125,8 +157,9 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                         before_n[f"{key}\t{'^' if not before or page_mark(before) else before_key(before)}"] += 1
                     if _LONE.match(before):
                         label_hits[key] += 1
-            out = [("line", k, c, line_hits.get(k, 0)) for k, c in line_n.items()] + [("label", k, c, label_hits.get(k, 0)) for k, c in line_n.items()] + [("before", k, c, 0) for k, c in before_n.items()] + [(k, w, c, 0) for k, own in (("word", found), ("hyphened", hyphened)) for w, c in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, _COUNT)], schema=_COUNT)
+            if sum(map(len, counters)) > KEYS:  # counts of several batches are handed on together, as far as memory allows
+                yield counted()
+        yield counted()
 
     counted = texts.select("text").mapInArrow(run, "kind string, key string, n long, hits long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
@@ -275,12 +308,17 @@ class Forms:
                 if len(w) >= 4:
                     self.places.setdefault(w, []).append((i, h.split()))
 
-    def inside(self, line: str) -> list[tuple[int, int]]:
-        """Places of headers within a longer line: the longest header around a word that was read right."""
+    def words(self, text: str) -> set[str]:
+        """The words of headers that stand in a text in small letters."""
+        return self.places.keys() & _LONG.findall(text)
+
+    def inside(self, line: str, words: set[str] | None = None) -> list[tuple[int, int]]:
+        """Places of headers within a longer line: the longest header around a word that was read right.
+        words: those of headers in the whole text, if they are known."""
         low = line.lower()
-        if self.places.keys().isdisjoint(_WORD.findall(low)):
+        if not any(w in low for w in words) if words is not None else self.places.keys().isdisjoint(_WORD.findall(low)):
             return []
-        tokens = [(x, m.start(), m.end()) for m in re.finditer(r"\S+", low) if (x := re.sub(r"[^\w@€(<']+", "", m[0]).strip("(")) and not x.isdigit()]
+        tokens = [(x, m.start(), m.end()) for m in _FILLED.finditer(low) if (x := m[0] if m[0].isalnum() else _SIGNS.sub("", m[0]).strip("(")) and not x.isdigit()]
         out: list[tuple[int, int]] = []
         stop = 0
         for t, (word, _, _) in enumerate(tokens):
@@ -311,10 +349,12 @@ class Forms:
         key = line_key(line)
         if key in self.headers:
             return True
-        plain = re.sub(r"\s*\d[\d. ]{5,}$", "", line.lower()).strip()
-        grams = {plain[i : i + 3] for i in range(len(plain) - 2)}
-        for h, n, own in self.parts:
-            if abs(len(plain) - n) <= 8 and len(grams & own) >= 0.35 * len(own) and osa(re.sub(r"[^\w@€(<']+", " ", plain).strip(), h, max(2, n // 4)) <= max(2, n // 4):
+        plain = line.lower()
+        plain = (_NUMBERS.sub("", plain) if plain[-1] in ". " or plain[-1].isdigit() else plain).strip()
+        parts = [x for x in self.parts if abs(len(plain) - x[1]) <= 8]
+        grams = {plain[i : i + 3] for i in range(len(plain) - 2)} if parts else set()
+        for h, n, own in parts:
+            if len(grams & own) >= 0.35 * len(own) and osa(_SIGNS.sub(" ", plain).strip(), h, max(2, n // 4)) <= max(2, n // 4):
                 return True
         return False
 
@@ -328,7 +368,8 @@ def page_mark(line: str) -> bool:
     m = _EXPLICIT.match(line)
     if not m:
         return False
-    word = re.sub(r"[^\w@€(<]", "", m[1].lower())
+    word = m[1].lower()
+    word = word if word.isalnum() else _NO_WORD.sub("", word)
     if word == "с" or word == "c":
         return bool(m[3]) or line.lower().startswith(("с.", "c."))
     return len(word) >= 3 and any(osa(word, w, 2) <= (0 if len(w) < 4 and len(word) < 3 else 1 if len(w) < 6 else 2) for w in PAGE_WORDS[:3])
@@ -343,10 +384,10 @@ def _page_word(word: str, of: bool) -> bool:
     return len(word) >= 4 and (osa(word, "лист", 1) <= (1 if of or re.search(rf"[^{_C}]", word) else 0) or osa(word, "страница", 2) <= 2)
 
 
-def cut_marks(line: str, forms: Forms, headed: bool = True) -> tuple[str, str, set[str]]:
+def cut_marks(line: str, forms: Forms, words: set[str] | None = None) -> tuple[str, str, set[str]]:
     """The line without the headers and page marks that stand inside it, what was cut out,
-    and the kinds of it. 'стр. 2' in an address is a building. headed: the text has a word of a header."""
-    spans = [(a, z, "header") for a, z in forms.inside(line)] if headed else []
+    and the kinds of it. 'стр. 2' in an address is a building. words: those of headers in the whole text, if they are known."""
+    spans = [(a, z, "header") for a, z in forms.inside(line, words)] if words is None or words else []
     if _ANY_DIGIT.search(line):
         for m in _IN_LINE.finditer(line):
             if m[1] and not _page_word(m[1].lower(), bool(m[3])):
@@ -499,9 +540,9 @@ def close_words(lines: list[str], forms: Forms, known, judge: Judge) -> tuple[li
     found = False
     for line in lines:
         if out and line and line[0].islower() and out[-1][-1:] in "-¬‐" and _END.search(out[-1]):
-            head = re.sub(r"\s?[-¬‐]\s?$", "", out[-1])
-            left = re.search(rf"[{_C}]+$", head, re.I)
-            right = re.match(rf"[{_C}]+", line, re.I)
+            head = _HYPHEN.sub("", out[-1])
+            left = _LAST.search(head)
+            right = _FIRST.match(line)
             if judge(break_features(left[0] if left else "", right[0] if right else "", out[-1].rstrip()[-1], True, forms, known)):
                 found = True
                 first, _, rest = line.partition(" ")
@@ -511,7 +552,7 @@ def close_words(lines: list[str], forms: Forms, known, judge: Judge) -> tuple[li
                 continue
         out.append(line)
     for i, line in enumerate(out):
-        if "- " in line or "¬ " in line:
+        if ("- " in line or "¬ " in line) and _AFTER.search(line):
 
             def close(m: re.Match) -> str:
                 nonlocal found
@@ -559,10 +600,10 @@ def examine(text: str, forms: Forms, fixes: dict[str, str], known, judges: tuple
     found: set[str] = set()
     cuts: list[str] = []
     nominated = [nominate(x, forms) for x in lines]
-    headed = not forms.places.keys().isdisjoint(_WORD.findall(text.lower()))
+    words = forms.words(text.lower())
     for i, x in enumerate(lines):
-        if len(x) > 5 and not nominated[i]:
-            lines[i], cut, inside = cut_marks(x, forms, headed)
+        if len(x) > 5 and not nominated[i] and (words or _ANY_DIGIT.search(x)):
+            lines[i], cut, inside = cut_marks(x, forms, words)
             if inside:
                 cuts.append(cut)
                 found |= inside

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowmill.llm.boosting import Boosted
-from rowmill.llm.scans import Forms, candidate_pairs, clean, close_words, corrections, count_corpus, cut_marks, difference, examine, fit_judges, furniture, hyphened_words, noisy_token, page_mark
+from rowmill.llm.scans import _WHOLE, Forms, candidate_pairs, clean, close_words, corrections, count_corpus, cut_marks, difference, examine, fit_judges, furniture, hyphened_words, joined, noisy_token, odd_tokens, page_mark
 
 FORMS = Forms(["форма учёта жильцов", "единый бланк продолжение"], ["субсидия нет"], ["кто-нибудь", *[f"{a}-{b}" for a in ("зорин", "север", "жилищно") for b in ("волков", "запад", "бытовой")]])
 KNOWN = {"квартиры", "дом", "собственник", "просит", "справку", "проживания", "управление", "показал"}.__contains__
@@ -159,3 +161,33 @@ def test_marks_inside_lines(line, rest, kinds):
 def test_no_hyphenated_word_is_left_out(spark):
     counts = spark.range(100_050).selectExpr("'hyphened' AS kind", "concat('кто-', id) AS key", "3L AS n", "0L AS hits")
     assert len(hyphened_words(counts)) == 100_050
+
+
+def test_patterns_mean_what_they_say():
+    rng = np.random.default_rng(11)
+    signs = list("абвядисткоЁАФВІѵіaxZſ19037-¬ \n.,:(/')€@<№«_")
+    token, suspect = re.compile(r"[^\s\"«»;:!?№\[\]]+"), re.compile(r"[іѵІѴ€@<]|[а-яё][A-Za-z'(/\d]|[A-Za-z'][а-яё]", re.I)
+    whole = re.compile(r"[а-яё]{4,}|(?<![,\w@€<('/¬-])[а-яё]{2,3}(?![\w@€<('/¬-])")
+    for _ in range(3000):
+        text = "".join(rng.choice(signs, 40))
+        assert odd_tokens(text) == [t for t in token.findall(text) if suspect.search(t) and noisy_token(t) and re.search("[а-яё]", t, re.I)]
+        assert _WHOLE.findall(text.lower()) == whole.findall(text.lower())
+        assert joined(text) == re.sub(r"(?<=[а-яё])\s?[-¬]\s?\n\s*(?=[а-яё])", "", text)
+
+
+def test_counts_of_batches_are_handed_on_together(spark):
+    texts = ["Сведения о жильцах\nпаспорт 12", "Сведения о жильцах\nпаспорт 13", None, ""] * 50
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows = []
+
+    class Seen:  # takes the Python stage out of the plan
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batches = (pa.RecordBatch.from_arrays([pa.array(texts[i : i + 10], pa.string())], names=["text"]) for i in range(0, len(texts), 10))
+            rows.extend(r for b in run(batches) for r in b.to_pylist())
+            return df.sparkSession.createDataFrame([(r["kind"], r["key"], r["n"], r["hits"]) for r in rows], schema)
+
+    got = {tuple(r) for r in count_corpus(Seen()).collect()}
+    assert len(rows) == len(got) and ("word", "паспорт", 100, 0) in got and got == {tuple(r) for r in count_corpus(df).collect()}
